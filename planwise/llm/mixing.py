@@ -103,7 +103,9 @@ def plan_mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED,
     k = coarse.select(F.struct("source").alias("k_source"), "coarse", "n").join(t.select(F.struct("source").alias("k_source"), "rest"), "k_source")
     k = k.withColumn("before", F.coalesce(F.sum("n").over(up_to.orderBy("coarse")), F.lit(0))).where("before <= rest and rest < before + n")
     f = cells.select(F.struct("source").alias("k_source"), "cell", F.floor(F.col("cell") / FAN).cast("int").alias("coarse"), "n")
-    f = f.join(k.select("k_source", "coarse", "rest", F.col("before").alias("above")), ["k_source", "coarse"])
+    # dealt by both, so that the cells of a large source do not meet in one task before the join drops most of them
+    k = k.select("k_source", "coarse", "rest", F.col("before").alias("above")).repartition("k_source", "coarse")
+    f = f.join(k, ["k_source", "coarse"])
     f = f.withColumn("before", F.col("above") + F.coalesce(F.sum("n").over(up_to.orderBy("cell")), F.lit(0))).where("before <= rest and rest < before + n")
     ends = f.select("k_source", F.col("cell").alias("end_cell"), F.col("before").alias("end_before"))
     t = t.select(F.struct("source").alias("k_source"), "source_size", "target", "epochs", "rest").join(ends, "k_source", "left")

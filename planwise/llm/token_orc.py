@@ -35,7 +35,7 @@ CACHE_WORDS = 500_000
 #: characters, so such pieces can be encoded apart.
 _PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: Other characters that some engine counts as white space: texts with them are encoded in one.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 
 _state: dict = {}
 
