@@ -12,30 +12,25 @@ columns are never read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planwise.llm.piececache import CachedEncoder
 from planwise.llm.storage import delete, materialize, new_path
-from planwise.llm.textkernel import steps
+from planwise.llm.textkernel import hash_of, prefix_hash, steps, text_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_GROUP = 1000
-#: Words whose ids a worker keeps; others are encoded each time.
-CACHE_WORDS = 500_000
-
-#: The pattern before the merges never matches across the start of white space that follows other
-#: characters, so such pieces can be encoded apart.
-_PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
-#: Other characters that some engine counts as white space: texts with them are encoded in one.
-_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+#: Pieces whose ids a worker keeps; others are encoded each time.
+CACHE_PIECES = 1_500_000
 
 _state: dict = {}
 
@@ -48,54 +43,80 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids with the tokenizers library, piece by piece."""
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x09, 0x0A, 0x0D, 0x20]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PRINTED = np.zeros(256, dtype=bool)
+_PRINTED[0x21:0x7F] = True
+#: ASCII, and no letter.
+_PLAIN = ~_LETTER
+_PLAIN[128:] = False
+#: First bytes of U+00C0 to U+023F: letters but for two signs in C3.
+_LATIN = np.zeros(256, dtype=bool)
+_LATIN[0xC3:0xC9] = True
+
+
+def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces start that can be encoded apart.
 
-    def __init__(self, vocabulary: str, end_id: int | None):
+    The pattern before the merges takes letters in runs as long as possible, and never goes on from
+    another character to white space. So a piece may end after a letter before an ASCII character
+    that is none, and before white space after printed ASCII or a letter. Anything else stays
+    together, which is slower but not wrong.
+    """
+    n = len(data)
+    latin = np.zeros(n, dtype=bool)
+    latin[1:] = _LATIN[data[:-1]] & (data[1:] >= 0x80) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    letter = _LETTER[data] | latin
+    first = np.zeros(n + 1, dtype=bool)
+    first[1:n] = (letter[:-1] & _PLAIN[data[1:]]) | (_PRINTED[data[:-1]] & _BLANK[data[1:]])
+    first[offsets] = True
+    first[n] = False
+    return np.flatnonzero(first)
+
+
+class Encoder(CachedEncoder):
+    """Encodes texts with the tokenizers library, piece by piece."""
+
+    def __init__(self, vocabulary: str):
+        super().__init__(CACHE_PIECES)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        whole = [i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)]
-        apart = set(whole)
-        pieces = [[] if i in apart else _PIECE.findall(t) for i, t in enumerate(texts)]
-        known = self.known
-        missing = list({p for ps in pieces for p in ps if p not in known})
-        now = dict(zip(missing, self.ids(missing), strict=True)) if missing else {}
-        if len(known) + len(now) <= CACHE_WORDS:
-            known.update(now)
-            get = known.__getitem__
-        else:
-            get = lambda p: known.get(p) or now[p]
-        out = [b"".join(map(get, ps)) + self.end for ps in pieces]
-        if whole:
-            for i, x in zip(whole, self.ids([texts[i] for i in whole]), strict=True):
-                out[i] = x + self.end
-        return out
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        offsets = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum([len(x) for x in ids], out=offsets[1:])
+        return offsets, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(offsets[-1]))
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with the end id, and the n + 1 offsets of the texts' ids."""
+        start = cut_pieces(data, offsets)
+        end = np.append(start[1:], len(data)) if len(start) else start
+        ids, length = self.encode(data, start, end, hash_of(prefix_hash(data), start, end))
+        row = np.searchsorted(offsets, start, side="right") - 1
+        per = np.bincount(row, weights=length, minlength=len(offsets) - 1).astype(np.int64)
+        at = np.zeros(len(offsets), dtype=np.int64)
+        np.cumsum(per, out=at[1:])
+        if end_id is not None:
+            ids = np.insert(ids, at[1:], end_id)
+            at = at + np.arange(len(at))
+        return ids, at
 
 
 def _encode(vocabulary: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (vocabulary, end_id)
-        if key not in _state:
-            _state[key] = Encoder(*key)
-        encoder = _state[key]
+        if vocabulary not in _state:
+            _state[vocabulary] = Encoder(vocabulary)
         for batch in batches:
             for part in steps(batch):
-                ids = encoder.encode(part.column(1).to_pylist())
-                offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-                np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
+                ids, offsets = _state[vocabulary].texts(*text_bytes(part.column(1)), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return run
 
