@@ -5,20 +5,23 @@ from __future__ import annotations
 import numpy as np
 
 
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ..., then start[1], ...: the positions of all spans in a row."""
+    full = length > 0
+    start, length = start[full], length[full]
+    step = np.ones(int(length.sum()), dtype=np.int64)
+    if len(step):
+        at = np.cumsum(length) - length
+        step[at] = start
+        step[at[1:]] -= start[:-1] + length[:-1] - 1
+    return np.cumsum(step, out=step)
+
+
 def gather_lists(offsets: np.ndarray, values: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lists index[0], index[1], ... of a ragged array in a row, and their lengths."""
-    length = offsets[index + 1] - offsets[index]
-    total = int(length.sum())
-    if total == 0:
-        return values[:0], length
-    step = np.ones(total, dtype=np.int64)
-    full = length > 0
-    first = offsets[index][full]
-    n = length[full]
-    at = np.cumsum(n) - n
-    step[at] = first
-    step[at[1:]] -= first[:-1] + n[:-1] - 1
-    return values[np.cumsum(step)], length
+    first = offsets[index]
+    length = offsets[index + 1] - first
+    return values[spans(first, length)], length
 
 
 class PieceCache:
@@ -82,8 +85,8 @@ class CachedEncoder:
     def __init__(self, capacity: int = 1_500_000):
         self.cache = PieceCache(capacity)
 
-    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, values) of the pieces' lists."""
+    def encode_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, values) of the lists of the pieces data[start:end]."""
         raise NotImplementedError
 
     def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +96,8 @@ class CachedEncoder:
         if not len(new):
             return self.cache.lists(index)
         distinct, first, which = np.unique(h[new], return_index=True, return_inverse=True)
-        raw = data.tobytes()
         some = new[first]
-        offsets, values = self.encode_pieces([raw[s:e] for s, e in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+        offsets, values = self.encode_pieces(data, start[some], end[some])
         # known lists, then new ones, as one ragged array
         n = self.cache.n
         known_end = self.cache.offsets[n]

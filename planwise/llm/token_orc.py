@@ -14,14 +14,13 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planwise.llm.piececache import CachedEncoder
+from planwise.llm.piececache import CachedEncoder, spans
 from planwise.llm.storage import delete, materialize, new_path
 from planwise.llm.textkernel import hash_of, prefix_hash, steps, text_bytes
 
@@ -52,9 +51,14 @@ _PRINTED[0x21:0x7F] = True
 #: ASCII, and no letter.
 _PLAIN = ~_LETTER
 _PLAIN[128:] = False
+#: Pieces that are encoded in one line.
+LINE = 256
 #: First bytes of U+00C0 to U+023F: letters but for two signs in C3.
 _LATIN = np.zeros(256, dtype=bool)
 _LATIN[0xC3:0xC9] = True
+#: Bytes of printed ASCII and of U+00C0 to U+023F; among these is no white space.
+_SAFE = _PRINTED | _LATIN
+_SAFE[0x80:0xC0] = True
 
 
 def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -86,12 +90,50 @@ class Encoder(CachedEncoder):
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        offsets = np.zeros(len(ids) + 1, dtype=np.int64)
-        np.cumsum([len(x) for x in ids], out=offsets[1:])
-        return offsets, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(offsets[-1]))
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of printed ASCII and letters, after one space at most, are encoded many in a line, and told apart by the line ends' id.
+
+        A line end neither joins what is before it nor one space after it. Others are encoded alone.
+        """
+        other = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum(~_SAFE[data], out=other[1:])
+        inner = start + (data[start] == 0x20)
+        safe = (other[end] == other[inner]) & (end > inner)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(start)
+        alone = np.flatnonzero(~safe)
+        if len(alone):
+            raw = data.tobytes()
+            for i, x in zip(alone.tolist(), self.ids([raw[s:e].decode() for s, e in zip(start[alone].tolist(), end[alone].tolist(), strict=True)]), strict=True):
+                out[i] = x
+        lengths = np.zeros(len(start), dtype=np.int64)
+        lengths[alone] = [len(out[i]) for i in alone.tolist()]
+        lined = np.flatnonzero(safe)
+        n = (end - start)[lined] + 1
+        line = data[np.minimum(spans(start[lined], n), len(data) - 1)]
+        stop = np.cumsum(n)
+        line[stop - 1] = 0x0A
+        cut = [0, *stop[LINE - 1 :: LINE].tolist()]
+        cut += [len(line)] * (cut[-1] < len(line))
+        raw = line.tobytes()
+        got = self.ids([raw[s:e].decode() for s, e in zip(cut[:-1], cut[1:], strict=True)])
+        ids = np.concatenate([*got, np.zeros(0, np.uint32)])
+        ends = np.flatnonzero(ids == self.line_end)
+        if len(ends) != len(lined):
+            raise ValueError("the vocabulary does not keep line ends apart")
+        first = np.append(0, ends[:-1] + 1) if len(ends) else ends
+        lengths[lined] = ends - first
+        offsets = np.zeros(len(start) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=offsets[1:])
+        values = np.zeros(offsets[-1], dtype=np.uint32)
+        values[spans(offsets[:-1][lined], lengths[lined])] = ids[ids != self.line_end]
+        for i in alone.tolist():
+            values[offsets[i] : offsets[i + 1]] = out[i]
+        return offsets, values
 
     def texts(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each with the end id, and the n + 1 offsets of the texts' ids."""
@@ -113,7 +155,7 @@ def _encode(vocabulary: str, end_id: int | None):
         if vocabulary not in _state:
             _state[vocabulary] = Encoder(vocabulary)
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, most=4 << 20):
                 ids, offsets = _state[vocabulary].texts(*text_bytes(part.column(1)), end_id)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
