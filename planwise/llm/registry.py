@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from planwise.llm.maxscore import ORACLE_OP3, op3_maxscore_topk
 from planwise.llm.mixing import ORACLE_OP4, op4_source_mixing
 from planwise.llm.token_orc import op2_token_orc
+from planwise.llm.vector_join import ORACLE_OP7, op7_embedding_dedup
 
 QUERIES = {
     "op2_token_orc": op2_token_orc,
+    "op3_maxscore_topk": op3_maxscore_topk,
     "op4_source_mixing": op4_source_mixing,
+    "op7_embedding_dedup": op7_embedding_dedup,
 }
 
 ORACLES = {
+    "op3_maxscore_topk": ORACLE_OP3,
     "op4_source_mixing": ORACLE_OP4,
+    "op7_embedding_dedup": ORACLE_OP7,
 }

@@ -29,7 +29,7 @@ END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_GROUP = 1000
 #: Pieces whose ids a worker keeps; others are encoded each time.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_200_000
 
 _state: dict = {}
 
@@ -155,7 +155,7 @@ def _encode(vocabulary: str, end_id: int | None):
         if vocabulary not in _state:
             _state[vocabulary] = Encoder(vocabulary)
         for batch in batches:
-            for part in steps(batch, most=4 << 20):
+            for part in steps(batch):
                 ids, offsets = _state[vocabulary].texts(*text_bytes(part.column(1)), end_id)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     x = x.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id")
     tokens = x.mapInArrow(_encode(vocabulary, end_id), "doc_id long, ids array<int>")
     tokens.write.options(**{
-        "compression": "zstd",
+        "compression": "snappy",
         "orc.bloom.filter.columns": "doc_id",
         "orc.bloom.filter.fpp": "0.01",
         "orc.create.index": "true",
