@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from planwise.llm.maxscore import ORACLE_OP3, op3_maxscore_topk
 from planwise.llm.mixing import ORACLE_OP4, op4_source_mixing
+from planwise.llm.ngram_join import op10_ngram_join
 from planwise.llm.token_orc import op2_token_orc
 from planwise.llm.vector_join import ORACLE_OP7, op7_embedding_dedup
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_maxscore_topk": op3_maxscore_topk,
     "op4_source_mixing": op4_source_mixing,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES = {
