@@ -42,7 +42,7 @@ PERCENT = 85
 #: log2 of the number of counters.
 COUNTERS = 21
 CHUNK_COUNTERS = 1 << 16
-GROUP_ROWS = 512
+GROUP_ROWS = 1024
 FANOUT = 4
 
 
@@ -198,25 +198,17 @@ def tree_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT,
     return out
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in steps(batch):
-                sets = shingle_hashes(*text_bytes(part.column(part.schema.get_field_index("text"))), width)
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(5)] + [pa.array([s.tobytes() for s in sets], pa.binary())], ["grp", "a", "b", "chunk", "doc_id", "s"])
-
-    return run
-
-
-def _verify(percent: int):
+def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 3):
             ids = t.column("doc_id").to_numpy()
             ids, first = np.unique(ids, return_index=True)
             if len(ids) < 2:
                 continue
-            raw = t.column("s")
-            sets = [np.frombuffer(raw[int(i)].as_buffer(), dtype=np.uint64) for i in first]
+            sets = []
+            for part in pa.Table.take(t, pa.array(first)).select(["text"]).combine_chunks().to_batches():
+                for some in steps(part):
+                    sets += shingle_hashes(*text_bytes(some.column(0)), width)
             a, b = t.column(1)[0].as_py(), t.column(2)[0].as_py()
             side = np.full(len(ids), -1) if a == b else (t.column("chunk").to_numpy()[first] == b).astype(np.int64)
             got = tree_links(sets, side, percent)
@@ -253,9 +245,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     y = classes.join(docs, "doc_id").select("grp", "chunks", "chunk", "doc_id", "text")
     y = y.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     y = y.select("grp", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "doc_id", "text")
-    y = y.mapInArrow(_sets(width), "grp long, a int, b int, chunk int, doc_id long, s binary")
+    # texts travel rather than sets: hashes don't compress
     y = y.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b")
-    links = y.mapInArrow(_verify(percent), "u long, v long")
+    links = y.mapInArrow(_verify(width, percent), "u long, v long")
     joined = connected_components(links)
 
     # documents of a class share their least id's component
