@@ -5,17 +5,12 @@ similarity is at least `percent` hundredths.
 
 1. Every document gets its set's size and a 128-bit fingerprint; documents with equal sets are one
    class and need no comparison.
-2. Documents that can link meet by a pigeonhole on shingles. Two linked sets differ in at most
-   k = |A| (100 - percent) / percent shingles, A being the smaller. Hashes are cut into more than k
-   parts, the number set by the size class, so at least one part holds the same shingles in both;
-   each part's shingles are one key. A set takes part in its own class and in the one of the
-   smallest set that it can link with. No frequencies are needed, and a key is a handful of shingles
-   at once, so passages that many documents share make hardly any candidates. (Parts in which
-   neither has a shingle give no key; a quarter more parts than k, and 32 at least, make a link
-   whose equal parts are all empty as unlikely as an equal hash: under 1e-7 for 6 shingles, the
-   smallest set that can link with another, and falling fast.)
-3. Documents with the same key are chained. The components of these chains are the candidate groups;
-   no link crosses them.
+2. Documents that can link meet by prefix filtering: ordered by a global order, two linked sets share
+   one of their first |A| - ceil(percent |A| / 100) + 1 shingles. The order puts rare shingles first,
+   by a table of counts that all documents are hashed into. The table has a fixed size: it decides
+   how well candidates are chosen, never which links are found.
+3. In each shingle's list, in order of size, neighbours whose sizes allow a link are chained. The
+   components of these chains are the candidate groups; no link crosses them.
 4. Each group builds a signature tree: nodes hold the OR of their documents' token bitmaps, with the
    greatest count per bit, and the range of sizes. A dual traversal leaves out pairs of nodes whose
    maximum possible overlap is too small, and pairs already joined; leaf pairs are verified exactly.
@@ -43,8 +38,10 @@ from planwise.llm.textkernel import mix64, shingle_hashes, steps, text_bytes
 
 WIDTH = 4
 PERCENT = 85
-#: Greatest over least size of a size class; above 100 / PERCENT.
-CLASS_RATIO = 1.5
+#: log2 of the number of counters. 16 MB of them tell shingles of some dozens of documents from rare
+#: ones in up to a billion distinct shingles; a larger corpus takes 2 or 4 more for short candidate lists.
+COUNTERS = 24
+CHUNK_COUNTERS = 1 << 18
 GROUP_ROWS = 1024
 FANOUT = 4
 
@@ -56,49 +53,68 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(mix64(np.array([a])).view(np.int64)[0]), int(mix64(np.array([b + np.uint64(1)])).view(np.int64)[0])
 
 
-def size_class(n: int) -> int:
-    return int(np.floor(np.log(n) / np.log(CLASS_RATIO) + 1e-9))
+def _counts(width: int, bits: int):
+    """Counts of hashed shingles in a table of fixed size per task, held at 255, cut into chunks."""
 
-
-def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a sorted set of hashes: one for each part that has shingles, in one or two size classes."""
-    n = len(s)
-    out = [np.zeros(0, np.uint64)]
-    mixed = mix64(s)
-    for c in {size_class(n), size_class(max(1, (percent * n + 99) // 100))}:
-        most = int(np.ceil(CLASS_RATIO ** (c + 1)))
-        if (100 - percent) * most // percent == 0:
-            continue  # sets of this class link with equal ones only
-        parts = max(32, int(np.ceil(1.25 * most * (100 - percent) / percent)) + 4)
-        part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        own = part[first] + (np.uint64(c + 1) << np.uint64(40))
-        out.append(mix64(np.add.reduceat(mixed, first) + mix64(own)))
-    return np.concatenate(out)
-
-
-def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, dtype=np.uint16)
+        shift = np.uint64(64 - bits)
         for batch in batches:
             for part in steps(batch):
-                sets = shingle_hashes(*text_bytes(part.column(1)), width)
-                f = [fingerprint(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in f], pa.int64()), pa.array([x for _, x in f], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "f1", "f2", "n"])
+                sets = shingle_hashes(*text_bytes(part.column(0)), width)
+                at, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
+                table[at] = np.minimum(table[at] + n, 255)
+        if table.any():
+            for at in range(0, len(table), CHUNK_COUNTERS):
+                chunk = table[at : at + CHUNK_COUNTERS].astype(np.uint8)
+                if chunk.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([chunk.tobytes()])], ["at", "counts"])
 
     return run
 
 
-def _keys(width: int, percent: int):
-    """(key, f1): the parts of each document's set."""
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in groups(batches, 1):
+        out = np.zeros(CHUNK_COUNTERS, dtype=np.uint16)
+        for x in t.column(1):
+            out = np.minimum(out + np.frombuffer(x.as_buffer(), dtype=np.uint8), 255)
+        yield pa.RecordBatch.from_arrays([t.column(0).slice(0, 1).combine_chunks(), pa.array([out.astype(np.uint8).tobytes()])], ["at", "counts"])
+
+
+def shingle_counts(docs: DataFrame, width: int = WIDTH, bits: int = COUNTERS) -> np.ndarray:
+    """Counts of hashed shingles over all documents, held at 255: 2**bits bytes, whatever the corpus."""
+    kind = "at int, counts binary"
+    parts = docs.select("text").mapInArrow(_counts(width, bits), kind).repartition("at").sortWithinPartitions("at").mapInArrow(_add, kind)
+    table = np.zeros(1 << bits, dtype=np.uint8)
+    for at, counts in parts.toLocalIterator():
+        table[at : at + CHUNK_COUNTERS] = np.frombuffer(counts, dtype=np.uint8)
+    return table
+
+
+def _prefixes(width: int, percent: int, table, bits: int):
+    """Two kinds of rows: each document's (doc_id, f1, f2, n), and its class's prefix (f1, n, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, shift = table.value, np.uint64(64 - bits)
         for batch in batches:
             for part in steps(batch):
-                sets = [s for s in shingle_hashes(*text_bytes(part.column(0)), width) if len(s)]
-                keys = [part_keys(s, percent) for s in sets]
-                if keys:
-                    f1 = np.repeat(np.array([fingerprint(s)[0] for s in sets], dtype=np.int64), [len(k) for k in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(f1)], ["key", "f1"])
+                f1, f2, size, prefix = [], [], [], []
+                for s in shingle_hashes(*text_bytes(part.column(1)), width):
+                    a, b = fingerprint(s)
+                    f1.append(a)
+                    f2.append(b)
+                    size.append(len(s))
+                    k = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                    if k < len(s):
+                        c = counts[(s >> shift).astype(np.int64)]
+                        cut = np.partition(c, k - 1)[k - 1]
+                        low = s[c < cut]
+                        s = np.concatenate([low, s[c == cut][: k - len(low)]])
+                    prefix.append(s.view(np.int64))
+                offsets = np.zeros(len(prefix) + 1, dtype=np.int32)
+                np.cumsum([len(p) for p in prefix], out=offsets[1:])
+                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), tokens], ["doc_id", "f1", "f2", "n", "tokens"])
 
     return run
 
@@ -205,14 +221,19 @@ def _verify(width: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, group_rows: int = GROUP_ROWS) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = COUNTERS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    x = materialize(docs.mapInArrow(_fingerprints(width), "doc_id long, f1 long, f2 long, n long"), "fingerprints")
+    table = spark.sparkContext.broadcast(shingle_counts(docs, width, bits))
+    x = docs.mapInArrow(_prefixes(width, percent, table, bits), "doc_id long, f1 long, f2 long, n long, tokens array<long>")
+    # one pass over the texts gives both: prefixes stay with their document until they are dealt
+    x = materialize(x, "prefixes")
     known = x.where("n > 0 and doc_id is not null")
-    keys = docs.where("doc_id is not null").select("text").mapInArrow(_keys(width, percent), "key long, f1 long")
-    before = keys.withColumn("p1", F.lag("f1").over(Window.partitionBy("key").orderBy("f1")))
-    chains = before.where("p1 <> f1").select("f1", "p1").distinct()
+    tokens = known.select("f1", "n", F.explode("tokens").alias("token"))
+    order = Window.partitionBy("token").orderBy("n", "f1")
+    before = tokens.select("f1", "n", F.lag("f1").over(order).alias("p1"), F.lag("n").over(order).alias("pn"))
+    chains = before.where(f"p1 <> f1 and 100 * pn >= {percent} * n").select("f1", "p1").distinct()
     found = materialize(connected_components(chains), "candidates")
     nodes = found.select(F.col("node").alias("f1"), F.col("component").alias("grp")).union(found.select("component", "component")).distinct()
 
