@@ -244,7 +244,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     chunks = F.when(F.col("count") <= group_rows, F.lit(1)).otherwise(F.ceil(F.col("count") * 2 / group_rows)).cast("int")
     classes = classes.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
     classes = materialize(classes.select("grp", "chunks", "chunk", "doc_id"), "classes")
-    y = classes.join(docs, "doc_id").select("grp", "chunks", "chunk", "doc_id", "text")
+    # one plan at every size: texts are dealt once and probe the few classes, without a sort
+    y = docs.join(classes.hint("shuffle_hash"), "doc_id").select("grp", "chunks", "chunk", "doc_id", "text")
     y = y.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     y = y.select("grp", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "doc_id", "text")
     # texts travel rather than sets: hashes don't compress
