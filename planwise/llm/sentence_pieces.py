@@ -31,7 +31,7 @@ from planwise.llm.textkernel import hash_of, prefix_hash, steps, text_bytes
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 500_000
 #: A character given by bytes scores so much less than the lowest piece.
 PENALTY = 10.0
 #: Cells of one Viterbi table.

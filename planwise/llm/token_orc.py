@@ -29,7 +29,7 @@ END_ID = 2
 STRIPE_BYTES = 64 << 20
 ROW_GROUP = 1000
 #: Pieces whose ids a worker keeps; others are encoded each time.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 1_000_000
 
 _state: dict = {}
 
