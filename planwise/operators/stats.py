@@ -51,7 +51,7 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def less_rows(v, buckets):
     """Estimated rows below v, from a column's buckets (array of struct row_count, lower, upper, repeats, prev in ascending order)."""
-    b = F.filter(buckets, lambda x: x.upper >= v)[0]
+    b = F.get(F.filter(buckets, lambda x: x.upper >= v), F.lit(0))
     span = (b.upper - b.lower).cast("double")
     fraction = F.when(span <= 0, F.lit(0.5)).otherwise((v - b.lower) / span)
     fraction = F.when((fraction < 0) | (fraction > 1), F.lit(0.5)).otherwise(fraction)
