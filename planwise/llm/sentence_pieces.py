@@ -31,11 +31,11 @@ from planwise.llm.textkernel import hash_of, prefix_hash, steps, text_bytes
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 #: A character given by bytes scores so much less than the lowest piece.
 PENALTY = 10.0
 #: Cells of one Viterbi table.
-CELLS = 1 << 21
+CELLS = 1 << 18
 
 _state: dict = {}
 
