@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from planwise import plan_queries
 from planwise.operators import estimate, stats
 from planwise.plans import text_plans
 
@@ -123,3 +124,6 @@ SELECT "column", bucket::BIGINT AS bucket, max(upto)::BIGINT AS row_count, min(v
     "label_norm": "SELECT o_orderkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (ln(o_totalprice) - (SELECT min(ln(o_totalprice)) FROM orders)) / ((SELECT max(ln(o_totalprice)) FROM orders) - (SELECT min(ln(o_totalprice)) FROM orders)))), 6) AS y FROM orders",
     "one_hot": "SELECT n_nationkey, array_to_string([(i = n_regionkey)::INTEGER FOR i IN range(5)], '') AS bits FROM nation",
 }
+
+QUERIES.update(plan_queries.QUERIES)
+ORACLES.update(plan_queries.ORACLES)
