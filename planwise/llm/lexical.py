@@ -15,6 +15,8 @@ BUCKETS = 1 << 22
 PREFIXES = (0, 4, 5, 6, 7)
 #: Word shapes.
 SHAPES = 2048
+#: Pairs of row and feature that are counted at once.
+PART = 1 << 20
 #: Labelled documents that a model is fitted on, at most, by a hash of their id.
 SAMPLE = 6000
 
@@ -82,9 +84,14 @@ def select(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, most: int
     n1, n = positive.sum(), len(positive)
     if not 0 < n1 < n:
         return np.zeros(0, np.int64)
-    all_ = np.bincount(feature, minlength=BUCKETS)
-    one = np.bincount(feature[positive[row]], minlength=BUCKETS)
     share = n1 / n
-    z = np.where(all_ > 2, (one - all_ * share) / np.sqrt(np.maximum(all_ * share * (1 - share), 1e-9)), 0.0)
-    chosen = np.flatnonzero(np.abs(z) >= least_z)
-    return np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:most]])
+    all_, one = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for at in range(0, len(feature), PART):
+        r, f = row[at : at + PART], feature[at : at + PART]
+        all_ += np.bincount(f, minlength=BUCKETS).astype(np.int32)
+        one += np.bincount(f[positive[r]], minlength=BUCKETS).astype(np.int32)
+    seen = np.flatnonzero(all_ > 2)
+    all_, one = all_[seen], one[seen]
+    z = np.abs((one - all_ * share) / np.sqrt(np.maximum(all_ * share * (1 - share), 1e-9)))
+    chosen, z = seen[z >= least_z], z[z >= least_z]
+    return np.sort(chosen[np.argsort(-z, kind="stable")[:most]])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planwise.llm.lexical import BUCKETS, SAMPLE, SHAPES, presence, sample, select, shapes
-from planwise.llm.textkernel import steps, text_bytes
+from planwise.llm.textkernel import release, steps, text_bytes
 
 GRADES = 3
 LEAST_GRADE = 1
@@ -47,22 +47,27 @@ def fit(texts: pa.Table, grade: np.ndarray, rounds: int = 400) -> tuple[np.ndarr
     even = (np.zeros(SHAPES), np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, -50.0))
     if n == 0 or len(np.unique(grade)) < 2:
         return even
-    xs, rows, fs, at = [], [], [], 0
-    for batch in texts.combine_chunks().to_batches():
+    x, rows, fs, at = np.zeros((n, SHAPES), np.float32), [], [], 0
+    for batch in texts.to_batches():
         for part in steps(batch):
             data = text_bytes(part.column(part.schema.get_field_index("text")))
-            xs.append(shapes(*data))
+            x[at : at + part.num_rows] = shapes(*data)
             r, f = presence(*data)
-            rows.append(r + at)
-            fs.append(f)
+            rows.append((r + at).astype(np.int32))
+            fs.append(f.astype(np.int32))
             at += part.num_rows
-    x, row, f = np.sqrt(np.concatenate(xs)) * np.float32(SHAPE_SCALE), np.concatenate(rows), np.concatenate(fs)
+    np.sqrt(x, out=x)
+    x *= np.float32(SHAPE_SCALE)
+    row, f = np.concatenate(rows), np.concatenate(fs)
+    del rows, fs
     used = np.flatnonzero(x.any(axis=0))
     x = np.ascontiguousarray(x[:, used])
     chosen = np.unique(np.concatenate([select(row, f, grade > k, FEATURES) for k in range(GRADES - 1)]))
-    at = np.searchsorted(chosen, f)
-    hit = (at < len(chosen)) & (chosen[np.minimum(at, max(len(chosen) - 1, 0))] == f) if len(chosen) else np.zeros(len(f), bool)
-    row, at = row[hit], at[hit]
+    keep = np.zeros(BUCKETS, dtype=bool)
+    keep[chosen] = True
+    hit = keep[f]
+    row, at = row[hit], np.searchsorted(chosen, f[hit])
+    del f, hit
     share = np.array([np.clip((grade > k).mean(), 1e-3, 1 - 1e-3) for k in range(GRADES - 1)])
     first = -np.log(share / (1 - share))
     p = np.zeros(len(used) + len(chosen) + GRADES - 1)  # weights, then the first threshold and logs of the gaps
@@ -116,6 +121,8 @@ def graded(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """docs with expected_grade and p_selected, the probability of LEAST_GRADE or more."""
     train = sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), grades(labels), ["grade"], rows)
     model = docs.sparkSession.sparkContext.broadcast(fit(train, train.column("grade").to_numpy().astype(np.int64)))
+    del train
+    release()
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(_grade(model), f"{kind}, expected_grade double, p_selected double")
 
