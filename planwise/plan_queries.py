@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from planwise.operators import bitmaps, predicates
 from planwise.plans import json_plans
 
-PREDICATES = {"a": "((p_size > 10) AND (p_name ~~ '%1%'::text))", "b": "((p_brand)::text = ANY ('{Brand#11,Brand#12,Brand#23}'::text[]))", "c": "((p_size <= 5) OR (p_type <> 'x'::text))"}
+PREDICATES = {"a": "((p_size > 10) AND (p_name ~~ '%re%'::text))", "b": "((p_brand)::text = ANY ('{Brand#11,Brand#12,Brand#23}'::text[]))", "c": "((p_size <= 5) OR (p_type <> 'MEDIUM'::text))"}
 TYPES = {"p_size": "number", "p_retailprice": "number", "p_name": "string", "p_brand": "string", "p_type": "string"}
 PLAN = json.dumps([{"Plan": {"Node Type": "Aggregate", "Strategy": "Plain", "Actual Total Time": 30.0, "Actual Rows": 1, "Plans": [
     {"Node Type": "Hash Join", "Hash Cond": "(o.o_custkey = c.c_custkey)", "Actual Total Time": 25.5, "Actual Rows": 40, "Plans": [
@@ -45,7 +45,7 @@ QUERIES = {
     "predicate_filter": lambda s, d: part(s, d).where(predicates.selected(predicates.parse(PREDICATES["a"]), TYPES)).select("p_partkey"),
     "predicate_any": lambda s, d: part(s, d).where(predicates.selected(predicates.parse(PREDICATES["b"]), TYPES)).select("p_partkey", "p_brand"),
     "predicate_or": lambda s, d: part(s, d).where(predicates.selected(predicates.parse(PREDICATES["c"]), TYPES)).select("p_partkey"),
-    "not_like": lambda s, d: part(s, d).where(predicates.selected(predicates.parse("(p_name !~~ '%1%'::text)"), TYPES)).select("p_partkey"),
+    "not_like": lambda s, d: part(s, d).where(predicates.selected(predicates.parse("(p_name !~~ '%re%'::text)"), TYPES)).select("p_partkey"),
     "is_null": lambda s, d: part(s, d).withColumn("p_name", F.when(F.col("p_size") % 3 != 0, F.col("p_name"))).where(predicates.selected(predicates.parse("(p_name IS NULL)"), TYPES)).select("p_partkey"),
     "predicate_bitmaps": packed,
     "bitmap_and_or": merged,
@@ -56,9 +56,9 @@ QUERIES = {
     "json_plan_bounds": lambda s, d: json_plans.bounds(json_plans.nodes(json_plan(s)), json_plans.labels(json_plan(s))),
 }
 
-_A = "p_size > 10 AND coalesce(p_name, '') LIKE '%1%'"
+_A = "p_size > 10 AND coalesce(p_name, '') LIKE '%re%'"
 _B = "coalesce(p_brand, '') IN ('Brand#11', 'Brand#12', 'Brand#23')"
-_C = "(p_size <= 5 OR coalesce(p_type, '') <> 'x')"
+_C = "(p_size <= 5 OR coalesce(p_type, '') <> 'MEDIUM')"
 
 
 def _bits(test: str) -> str:
@@ -69,7 +69,7 @@ ORACLES = {
     "predicate_filter": f"SELECT p_partkey FROM part WHERE {_A}",
     "predicate_any": f"SELECT p_partkey, p_brand FROM part WHERE {_B}",
     "predicate_or": f"SELECT p_partkey FROM part WHERE {_C}",
-    "not_like": "SELECT p_partkey FROM part WHERE coalesce(p_name, '') NOT LIKE '%1%'",
+    "not_like": "SELECT p_partkey FROM part WHERE coalesce(p_name, '') NOT LIKE '%re%'",
     "is_null": "SELECT p_partkey FROM part WHERE p_size % 3 = 0 OR coalesce(p_name, '') = ''",
     "predicate_bitmaps": f"SELECT 'a' AS name, {_bits(_A)} AS bits UNION ALL SELECT 'b', {_bits(_B)} UNION ALL SELECT 'c', {_bits(_C)}",
     "bitmap_and_or": f"SELECT {_bits(f'{_A} AND {_C}')} AS a_and_c, {_bits(f'({_A}) OR {_B}')} AS a_or_b, {_bits(f'{_A} AND {_B} AND {_C}')} AS node",

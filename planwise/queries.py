@@ -93,7 +93,7 @@ QUERIES = {
     "plan_parse": lambda s, d: plan_nodes(s).select("plan_id", "pos", "depth", "parent", "operator", F.round(text_plans.milliseconds(text_plans.field_map(F.col("execution"))["time"]), 6).alias("ms")),
     "plan_features": lambda s, d: text_plans.features(plan_nodes(s)),
     "cost_weights": lambda s, d: text_plans.cost_weights(plan_nodes(s)),
-    "like_predicate": lambda s, d: table(s, d, "part").where(F.coalesce("p_name", F.lit("")).like("%1%")).select("p_partkey"),
+    "like_predicate": lambda s, d: table(s, d, "part").where(F.coalesce("p_name", F.lit("")).like("%re%")).select("p_partkey"),
     "in_list": lambda s, d: table(s, d, "part").where(F.col("p_size").isin(3, 7, 11)).select("p_partkey", "p_size"),
     "null_compat": lambda s, d: table(s, d, "part").withColumn("x", F.when(F.col("p_size") % 5 != 0, F.col("p_size"))).where(F.coalesce(F.col("x") > 30, F.lit(True))).select("p_partkey", "x"),
     "label_norm": lambda s, d: table(s, d, "orders").crossJoin(table(s, d, "orders").agg(F.min(F.log("o_totalprice")).alias("lo"), F.max(F.log("o_totalprice")).alias("hi"))).select("o_orderkey", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log("o_totalprice") - F.col("lo")) / (F.col("hi") - F.col("lo")))), 6).alias("y")),
@@ -118,7 +118,7 @@ SELECT "column", bucket::BIGINT AS bucket, max(upto)::BIGINT AS row_count, min(v
     "top_values": f"""WITH c AS (SELECT "column", v, count(*) AS n FROM ({_H}) GROUP BY 1, 2) SELECT "column", (row_number() OVER (PARTITION BY "column" ORDER BY n DESC, v))::INTEGER AS rank, v, n FROM c QUALIFY rank <= 5""",
     "column_summary": f"""SELECT "column", min(v) AS min_v, max(v) AS max_v, count(v) AS n_rows, count(DISTINCT v) AS ndv, count(*) - count(v) AS null_count FROM ({_H}) GROUP BY 1""",
     "pearson_matrix": "SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_partkey', round(corr(l_quantity, l_partkey), 6) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_partkey', round(corr(l_extendedprice, l_partkey), 6) FROM lineitem",
-    "like_predicate": "SELECT p_partkey FROM part WHERE coalesce(p_name, '') LIKE '%1%'",
+    "like_predicate": "SELECT p_partkey FROM part WHERE coalesce(p_name, '') LIKE '%re%'",
     "in_list": "SELECT p_partkey, p_size FROM part WHERE p_size IN (3, 7, 11)",
     "null_compat": "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size END AS x FROM part WHERE coalesce(CASE WHEN p_size % 5 <> 0 THEN p_size END > 30, true)",
     "label_norm": "SELECT o_orderkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (ln(o_totalprice) - (SELECT min(ln(o_totalprice)) FROM orders)) / ((SELECT max(ln(o_totalprice)) FROM orders) - (SELECT min(ln(o_totalprice)) FROM orders)))), 6) AS y FROM orders",
