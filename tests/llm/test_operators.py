@@ -184,3 +184,27 @@ def test_toxicity_and_quality(spark):
 def test_digest_of_kept_bytes():
     raw, kept, s, e = suffix_dedup._kept("abcdef", [{"s": 1, "e": 1}], 3)
     assert kept == b"aef" and hashlib.sha256(raw).hexdigest() != hashlib.sha256(kept).hexdigest() and (s[0], e[0]) == (1, 4)
+
+
+def letter_model(texts):
+    n = np.zeros(27**3)
+    for b in toxicity._trigrams([pa.record_batch({"text": texts})]):
+        n[b.column(0).to_numpy()] += b.column(1).to_numpy()
+    n = n.reshape(27, 27, 27) + 0.01
+    return np.log(n / n.sum(axis=2, keepdims=True))
+
+
+def test_toxicity_decodes_long_runs_whole():
+    words = "you are such a moron and an idiot that we all leave the room when you talk about trees"
+    texts = [words] * 5 + ["plain talk about trees"]
+    lm = letter_model(texts)
+    own = toxicity.vocabulary(pa.table({"text": texts}), lm)
+    said = "we all leave the room when you talk about trees and you talk about the room and you are an idiot"
+    run = " ".join(said.replace(" ", ""))
+    wide = " ".join(" ".join(w) + " " for w in said.split(" "))
+    stretched = "m" + "o" * 90 + "ron"
+    assert len(run) > 128
+    data, offsets = text_bytes(pa.array([run, wide.strip(), stretched, "nothing here", None]))
+    got = [" ".join(x).split() for x in toxicity.restored(data, offsets, lm, {}, own)]
+    assert "idiot" in got[0] and said.replace(" ", "") in got[0]
+    assert "idiot" in got[1] and "moron" in got[2] and got[3] == got[4] == []
