@@ -208,3 +208,14 @@ def test_toxicity_decodes_long_runs_whole():
     got = [" ".join(x).split() for x in toxicity.restored(data, offsets, lm, {}, own)]
     assert "idiot" in got[0] and said.replace(" ", "") in got[0]
     assert "idiot" in got[1] and "moron" in got[2] and got[3] == got[4] == []
+
+
+def test_toxicity_suspects_what_the_lattice_models():
+    texts = ["you idiot and you shit ass fuck loser idiot shit ass loser"] * 5
+    lm = letter_model(texts)
+    disguised = {"!diot": "idiot", "say |diot": "idiot", "shi+": "shit", "los€r": "loser", "£oser": "loser", "¡diot": "idiot", "iddiot": "idiot", "a s s": "ass", "i - d - i - o - t": "idiot", "i ... d ... i ... o ... t": "idiot", "í d í ó t": "idiot", "f.u.c.k": "fuck", "(a s s)": "ass", "!i d i o t!": "idiot", "i·d·i·o·t": "idiot", "l • o • s • e • r": "loser", "a\ns\ns": "ass"}
+    data, offsets = text_bytes(pa.array([*disguised, "12:30 on 2024-01-02", "a cat", "you and", "日本 語 本"]))
+    got = toxicity.restored(data, offsets, lm, {})
+    for (text, want), found in zip(disguised.items(), got):
+        assert want in " ".join(found).split(), text
+    assert got[-4] == got[-3] == got[-2] == got[-1] == []
