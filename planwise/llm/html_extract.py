@@ -4,7 +4,9 @@ The page is parsed to a tree with html.parser. Parts that never hold an article
 forms, navigation, asides, and elements whose class or id names menus, adverts, notices, comments and
 the like) are left out. Each remaining paragraph gives points for its length and commas to its
 ancestors, half as many for each step up; a container's points are discounted by its link density.
-The best container is kept, with those siblings that score enough or hold plain paragraphs.
+If the best container lies in an article or main element, the outermost such element is kept whole. If
+not, it grows to its parent as long as nothing but headings stands beside it, and is kept with its
+parent's own text and all siblings that are no lists of links, whatever their size.
 
 Blocks of the kept part are its block elements' own runs of text; white space inside a block becomes
 one space, blocks are joined by line ends in page order.
@@ -37,9 +39,9 @@ UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: Points that a paragraph needs at least to count, in characters.
 LEAST_CHARS = 25
-#: Share of the best score that a sibling needs.
-SIBLING_SHARE = 0.2
-#: Siblings are looked for this far up at most below body, where the container is alone in its parent.
+#: Share of characters in links from which a sibling is left out.
+LINKS = 0.25
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 SCORED = frozenset(["p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3", "h4", "h5", "h6"])
 
 
@@ -176,6 +178,23 @@ def blocks(n: Node) -> list[str]:
     return out
 
 
+def whole(best: Node) -> Node:
+    """All that belongs to the best container, as one node."""
+    top, up = None, best
+    while up is not None:
+        top, up = up if up.tag in ("article", "main") else top, up.parent
+    if top is not None:
+        return top
+    n = best
+    while n.parent is not None and n.tag != "body" and not any(c.strip() if isinstance(c, str) else not c.dropped and c.chars and c is not n and c.tag not in HEADINGS for c in n.parent.children):
+        n = n.parent
+    if n.parent is None or n.tag == "body":
+        return n
+    out = Node("div", None)
+    out.children = [c for c in n.parent.children if c is n or isinstance(c, str) or not c.dropped and (c.tag in HEADINGS or density(c) < LINKS)]
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -186,18 +205,7 @@ def main_text(html: str | None) -> str:
     best = max(containers, key=lambda n: n.score * (1 - density(n)))
     if best.score <= 0:
         best = root
-    parent, kept = best.parent, [best]
-    if parent is not None and best.tag not in ("article", "main", "body"):
-        least = max(SIBLING_SHARE * best.score * (1 - density(best)), 1e-9)
-        kept = []
-        for c in parent.children:
-            if c is best:
-                kept.append(c)
-            elif isinstance(c, Node) and not c.dropped:
-                alone = c.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and density(c) < 0.25 and c.chars > 0
-                if alone or c.score * (1 - density(c)) >= least:
-                    kept.append(c)
-    return "\n".join(b for n in kept for b in blocks(n))
+    return "\n".join(blocks(whole(best)))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,6 +158,23 @@ def test_html():
     assert html_extract.main_text(None) == html_extract.main_text("") == ""
 
 
+LONG = "A long paragraph, with commas, and enough text to count, as articles have them, again and again."
+
+
+def test_html_keeps_the_whole_article():
+    ten, lines = f"<p>{LONG}</p>" * 10, [LONG] * 10
+    small = "<section><p>Short, last section of it.</p></section><ul><li>an item</ul><dl><dt>term<dd>meaning</dl><figure><figcaption>caption</figcaption></figure><h5>minor</h5><table><tr><td>cell</table>"
+    texts = ["Short, last section of it.", "an item", "term", "meaning", "caption", "minor", "cell"]
+    for tag in ("article", "main", "div"):
+        page = f"<body><div><ul><li><a href=a>One link</a><li><a href=b>Another link</a></ul><{tag}><section>{ten}</section>{small}</{tag}></div></body>"
+        assert html_extract.main_text(page).split("\n") == lines + texts, tag
+    climbed = f"<body><article><h1>Title</h1><div><div>{ten}</div></div></article></body>"
+    assert html_extract.main_text(climbed).split("\n") == ["Title", *lines]
+    for around in ("article", "div"):
+        page = f"<body><{around}><h1>Title</h1>own text<div><div>{ten}</div></div></{around}><div><a href=x>only links here</a></div></body>"
+        assert html_extract.main_text(page).split("\n") == ["Title", "own text", *lines], around
+
+
 def test_toxicity_and_quality(spark):
     r = random.Random(5)
     texts = corpus(120, 5)
