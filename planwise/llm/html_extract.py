@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 The page is parsed to a tree with html.parser. Parts that never hold an article (scripts, styles,
-forms, navigation, asides, and elements whose class or id names menus, adverts, notices, comments and
-the like) are left out. Each remaining paragraph gives points for its length and commas to its
+forms, navigation, asides, and elements whose class or id names nothing but menus, adverts, notices,
+comments and the like) are left out, unless they hold the page's articles or most of its paragraphs. Each remaining paragraph gives points for its length and commas to its
 ancestors, half as many for each step up; a container's points are discounted by its link density.
 If the best container lies in an article or main element, the outermost such element is kept whole. If
 not, it grows to its parent as long as nothing but headings stands beside it, and is kept with its
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -35,7 +36,13 @@ DROPPED = frozenset("script style noscript template head title nav footer aside
 PAGE_LEVEL = frozenset(["header"])
 #: Elements that a start tag closes, as in the HTML standard's rules for implied ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|popup|modal|subscribe|newsletter|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|masthead|header|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|pagination|pager|tags|login|signup|search|skip|toolbar)(?:$|[\s_-])", re.I)
+#: Names of parts that hold no article. A class, id or role counts if it is made of such words, and of PLACES, only.
+UNLIKELY = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|popup|modal|subscribe|newsletter|nav\w*|menu\w*|breadcrumbs?|sidebar|side|widget\w*|footer|masthead|header|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommend\w*|pagination|pager|tags|login|signup|search|skip|toolbar", re.I)
+PLACES = re.compile(r"\d+(?:x\d+)?|site|global|main|primary|secondary|left|right|top|bottom|upper|lower|sticky|fixed|mobile|desktop|google|area|bar|box|block|slot|unit|item|items|list|links?|buttons?|icons?|form|wrap|wrapper|container|inner|outer|col|column|panel|posts|articles|stories|to|thread|section", re.I)
+#: Names of a head part, which inside an article is the article's own, and of parts that readers wrote.
+HEAD, READERS = re.compile(r"header|masthead|banner", re.I), re.compile(r"comments?|commentlist|disqus|replies|respond", re.I)
+#: Elements whose id is a place to jump to.
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote figure figcaption table".split())
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: Points that a paragraph needs at least to count, in characters.
 LEAST_CHARS = 25
@@ -46,13 +53,23 @@ SCORED = frozenset(["p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "hint", "score", "chars", "links", "dropped")
+    __slots__ = ("tag", "parent", "children", "unlikely", "score", "chars", "links", "dropped")
 
     def __init__(self, tag: str, parent: Node | None, hint: str = ""):
-        self.tag, self.parent, self.hint = tag, parent, hint
+        self.tag, self.parent = tag, parent
         self.children: list = []
         self.score, self.chars, self.links = 0.0, 0, 0
-        self.dropped = tag in DROPPED or bool(hint and UNLIKELY.search(hint) and tag not in ("html", "body", "article", "main"))
+        self.dropped = tag in DROPPED
+        #: The names that count against the element.
+        self.unlikely = [w for t in hint.split() if tag not in ("html", "body", "article", "main") for w in unlikely(t)]
+
+
+@lru_cache(4096)
+def unlikely(token: str) -> tuple[str, ...]:
+    """Words of UNLIKELY in a class, id or role, if all its words are such or PLACES."""
+    words = [w for w in re.split(r"[_-]+", token) if w]
+    found = tuple(w for w in words if UNLIKELY.fullmatch(w))
+    return found if all(w in found or PLACES.fullmatch(w) for w in words) else ()
 
 
 class Builder(HTMLParser):
@@ -71,7 +88,7 @@ class Builder(HTMLParser):
                         break
                 n = n.parent
         a = dict(attrs)
-        node = Node(tag, self.at, " ".join(x for x in (a.get("class"), a.get("id"), a.get("role")) if x))
+        node = Node(tag, self.at, " ".join(x for x in (a.get("class"), a.get("id") if tag not in ANCHORS else None, a.get("role")) if x))
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", ""):
             node.dropped = True
         self.at.children.append(node)
@@ -101,12 +118,42 @@ def tree(html: str) -> Node:
     return b.root
 
 
+def rescue(root: Node) -> None:
+    """Clears the names of elements that hold the page's articles, or most of its paragraphs' text outside links."""
+    order, stack = [], [(root, False, False)]
+    while stack:
+        n, paragraph, link = stack.pop()
+        if n.dropped:
+            continue
+        order.append((n, paragraph or n.tag in SCORED, link or n.tag == "a"))
+        stack += [(c, *order[-1][1:]) for c in reversed(n.children) if isinstance(c, Node)]
+    if not any(n.unlikely for n, _, _ in order):
+        return
+    #: articles, characters of paragraphs, and of all text, by node; what readers wrote doesn't count for the page
+    held: dict[int, tuple[int, int, int]] = {}
+    for n, paragraph, link in reversed(order):  # children come after their parents
+        own = 0 if link else sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        parts = [held[id(c)] for c in n.children if isinstance(c, Node) and id(c) in held and not from_readers(c)]
+        held[id(n)] = (n.tag in ("article", "main")) + sum(p[0] for p in parts), own * paragraph + sum(p[1] for p in parts), own + sum(p[2] for p in parts)
+    articles, *total = held[id(root)]
+    k = 1 if total[0] else 2
+    for n, _, _ in order:
+        if n.unlikely:
+            has, most = held[id(n)][0], 2 * held[id(n)][k] > total[k - 1]
+            if not total[1] if from_readers(n) else articles and has == articles or most and (has or not articles):
+                n.unlikely = []
+
+
+def from_readers(n: Node) -> bool:
+    return any(READERS.fullmatch(w) for w in n.unlikely)
+
+
 def walk(root: Node, inside_article: bool = False) -> list[Node]:
     """Kept nodes in page order; sets what is dropped, by a stack rather than recursion."""
     out, stack = [], [(root, inside_article)]
     while stack:
         n, inside = stack.pop()
-        if n.dropped or n.tag in PAGE_LEVEL and not inside:
+        if n.dropped or n.tag in PAGE_LEVEL and not inside or any(not (inside and HEAD.fullmatch(w)) for w in n.unlikely):
             n.dropped = True
             continue
         out.append(n)
@@ -199,6 +246,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = tree(html)
+    rescue(root)
     nodes = walk(root)
     score(nodes)
     containers = [n for n in nodes if n.tag in BLOCK and n.tag not in SCORED and n.tag not in ("html", "ul", "ol", "dl", "tr", "tbody")] or [root]

@@ -175,6 +175,19 @@ def test_html_keeps_the_whole_article():
         assert html_extract.main_text(page).split("\n") == ["Title", "own text", *lines], around
 
 
+@pytest.mark.parametrize("wrapper", ["content has-sidebar", "page no-sidebar", "with-comments", "main-content nav-open", "sidebar", "header"])
+def test_html_names_that_hold_the_article(wrapper):
+    ten, lines = f"<p>{LONG}</p>" * 10, [LONG] * 10
+    noise = f"<div class='main-sidebar'><p>{LONG}</p></div><div id=comments class='comments-area'><article><p>{LONG}</p></article></div><div class='ad-slot ad-300x250'>{LONG}</div>"
+    for page in (f"<div class='{wrapper}'><div>{ten}</div></div>{noise}", f"<div class='{wrapper}'><div>{ten}</div>{noise}</div>", f"<div class='{wrapper}'><article>{ten}</article></div>{noise}"):
+        assert html_extract.main_text(f"<body>{page}</body>").split("\n") == lines, page
+
+
+def test_html_names_inside_the_article():
+    page = f"<body><article><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><h2 id='related-work'>Related work</h2><section id='search-results'><p>{LONG}</p></section><h3 id=comments>Comments on it</h3><div class=share-buttons>tell friends</div></article></body>"
+    assert html_extract.main_text(page).split("\n") == ["Title", LONG, "Related work", LONG, "Comments on it"]
+
+
 def test_toxicity_and_quality(spark):
     r = random.Random(5)
     texts = corpus(120, 5)
