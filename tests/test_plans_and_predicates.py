@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planwise.operators import bitmaps, predicates
-from planwise.plan_queries import json_plan
+from planwise.plan_queries import QUERIES, json_plan
 from planwise.plans import json_plans
 from planwise.sources import readers, sinks
 
@@ -83,6 +83,23 @@ def test_bitmaps(spark):
     assert {r.pos: r.bitmap for r in bitmaps.add_bitmaps(nodes, found).collect()} == {0: "10", 1: None}
 
 
+@pytest.mark.parametrize("n", [1500, 600])
+def test_bitmaps_of_the_whole_sample(spark, tmp_path, n):
+    rows = [(k, None if k % 11 == 0 else ("red" if k % 3 else "blue"), None if k % 13 == 0 else f"Brand#{10 + k % 15}", None if k % 17 == 0 else ("MEDIUM" if k % 4 else "SMALL"), None if k % 19 == 0 else k % 50, 1.0) for k in range(n)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    order = sorted((r.h, r.id) for r in spark.range(n).select("id", F.xxhash64("id", F.lit(0)).alias("h")).collect())[:1000]
+    kept = [rows[k] for k in sorted(k for _, k in order)]
+    assert len({r[0] % 7 for r in kept}) == 7
+    a = [(r[4] is None or r[4] > 10) and "re" in (r[1] or "") for r in kept]  # a missing number passes all but =
+    b = [r[2] in ("Brand#11", "Brand#12", "Brand#23") for r in kept]
+    c = [r[4] is None or r[4] <= 5 or r[3] != "MEDIUM" for r in kept]
+    bits = lambda x: "".join("01"[y] for y in x).ljust(1000, "0")
+    got = {r["name"]: r.bits for r in QUERIES["predicate_bitmaps_sample"](spark, str(tmp_path)).collect()}
+    assert got == {"a": bits(a), "b": bits(b), "c": bits(c)}
+    m = QUERIES["bitmap_and_or_sample"](spark, str(tmp_path)).first()
+    assert (m.a_and_c, m.a_or_b, m.node) == (bits(x and z for x, z in zip(a, c)), bits(x or y for x, y in zip(a, b)), bits(x and y and z for x, y, z in zip(a, b, c)))
+
+
 def test_samples(spark):
     rows = spark.range(1000)
     a, b = (sorted(r.id for r in bitmaps.sample(rows, "id", 50, 3).collect()) for _ in range(2))
