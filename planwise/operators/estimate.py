@@ -28,6 +28,27 @@ def selectivities(ranges: DataFrame, df: DataFrame, columns: list[str], buckets:
     return x.select("query_id", "column", F.greatest(F.lit(0.0), F.least(F.lit(1.0), rows / F.col("total"))).alias("sel"), "total")
 
 
+def column_bounds(hist: DataFrame, top: DataFrame) -> DataFrame:
+    """(column, min_v, max_v) over the buckets and the top values."""
+    both = hist.select("column", "lower", "upper").union(top.select("column", "v", "v"))
+    return both.groupBy("column").agg(F.min("lower").alias("min_v"), F.max("upper").alias("max_v"))
+
+
+def known_selectivities(ranges: DataFrame, summary: DataFrame, hist: DataFrame, top: DataFrame) -> DataFrame:
+    """(query_id, column, sel, total) of each range from readers.table_statistics(), whose histograms leave the top values out.
+
+    Rows are the histogram's estimate and the counts of the top values within the range.
+    """
+    known = summary.select("column", "ndv", F.col("row_count").alias("total")).join(stats.bucket_arrays(hist), "column", "left")
+    known = known.join(top.groupBy("column").agg(F.collect_list(F.struct("v", "n")).alias("top")), "column", "left").join(column_bounds(hist, top), "column", "left")
+    x = ranges.join(known, "column").withColumn("first", F.coalesce(F.col("lo") + 1, "min_v")).withColumn("end", F.coalesce(F.col("hi"), F.col("max_v") + 1))
+    within = F.filter("top", lambda t: (t.v >= F.col("first")) & (t.v < F.col("end")))
+    hot = F.coalesce(F.aggregate(within, F.lit(0).cast("long"), lambda a, t: a + t.n), F.lit(0))
+    rows = F.coalesce(stats.between_rows(F.col("first"), F.col("end"), F.col("buckets"), F.col("ndv")), F.lit(0.0)) + hot
+    sel = F.when(F.col("total") > 0, rows / F.col("total")).otherwise(0.0)
+    return x.select("query_id", "column", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sel)).alias("sel"), "total")
+
+
 def combine(sel: DataFrame) -> DataFrame:
     """(query_id, avi, ebo, min_sel) estimated rows: independence, exponential back-off over the four smallest, and the minimum."""
     s = F.array_sort(F.collect_list("sel"))

@@ -5,6 +5,7 @@ import urllib.request
 from pyspark.sql import functions as F
 
 from planwise import serving
+from planwise.operators import estimate
 from planwise.plans import encoding
 
 
@@ -37,3 +38,18 @@ def test_served_estimates():
 def test_warnings():
     assert serving.used(["cost(Sort)=3.5 set successfully", "selectivity set successfully"]) == (True, True)
     assert serving.used(["cost(Sort)=0 set successfully"]) == (False, False)
+
+
+def test_top_values_count_in_estimates(spark):
+    hist = spark.createDataFrame([("a", 0, 10, 0, 10, 1), ("a", 1, 20, 11, 20, 1)], "column string, bucket int, row_count long, lower long, upper long, repeats long")
+    top = spark.createDataFrame([("a", 5, 70), ("a", 30, 10), ("b", 7, 100)], "column string, v long, n long")
+    summary = spark.createDataFrame([("a", 100, 22), ("b", 100, 1)], "column string, row_count long, ndv long")
+    asked = spark.createDataFrame([(1, "a", 4, 6), (2, "a", 5, 30), (3, "a", None, None), (4, "b", 6, 8), (5, "b", 7, None), (6, "a", 20, None)], "query_id int, column string, lo long, hi long")
+    got = {r.query_id: r.sel for r in estimate.known_selectivities(asked, summary, hist, top).collect()}
+    assert abs(got[1] - 0.709) < 1e-9 and got[3] == got[4] == 1.0 and got[5] == 0.0 and abs(got[6] - 0.1) < 0.01
+    assert 0 < got[2] < 0.2
+    assert {tuple(r) for r in estimate.column_bounds(hist, top).collect()} == {("a", 0, 30), ("b", 7, 7)}
+    stats, hot = {"a": [(10, 0, 10, 1), (20, 11, 20, 1)], "b": []}, {"a": [(5, 70), (30, 10)], "b": [(7, 100)]}
+    assert serving.selectivity(stats, {"a": [None, None]}, hot) == 1.0 and serving.selectivity(stats, {"a": [20, None]}, hot) == 0.1
+    assert serving.selectivity(stats, {"a": [4, 6]}, hot) > 0.7 and serving.selectivity(stats, {"b": [6, 8]}, hot) == 1.0
+    assert json.loads(json.dumps(serving.answer("/cardinality", b'{"ranges": {"b": [6, 8]}}', stats, {}, hot)))["selectivity"] == 1.0
