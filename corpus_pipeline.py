@@ -38,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("encode", encode)]
 
-#: The classifier and the encoder are beyond SQL; tests hold the pipeline against a plain version.
+#: The classifier and the encoder are beyond SQL; tests hold all after the classifier against a plain version.
 ORACLE_SQL = None
 
 
