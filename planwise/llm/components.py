@@ -54,7 +54,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges: two columns of long; loops, repeats and nulls are ignored. component is the least node
     that is reachable. Nodes without edges, and the least ones, have no row. Each round is one
     large-star and one small-star step (Kiveris et al., 2014); neighbours are never collected, only
-    their minimum is aggregated. Each round's edges are written to the shared folder.
+    their minimum is aggregated. Each round's edges are written to the shared folder, and so is the result.
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
@@ -80,4 +80,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = got
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out._planwise_path = now._planwise_path  # for drop()
+    return out

@@ -8,11 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a hash join's build side that one partition may hold.
+HASH_BYTES = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset, a local one for a local master, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = getattr(spark, "_planwise_dir", None)
+        if not path and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not path:
             path = spark._planwise_dir = "file://" + tempfile.mkdtemp(prefix="planwise-")
     return path.rstrip("/")
@@ -32,14 +38,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once nothing reads it any more."""
-    path = getattr(df, "_planwise_path", None)
-    if path:
-        delete(df.sparkSession, path)
+def drop(*frames: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "_planwise_path", None)
+        if path:
+            delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like `name` that no frame has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def hash_side(written: DataFrame, row_bytes: int, side: DataFrame | None = None) -> DataFrame:
+    """`side`, made of a written table or the table itself, hinted as the build side of a shuffled hash join if a partition's share of the table is small; joins with a larger one sort, and can spill."""
+    side, most = written if side is None else side, HASH_BYTES * int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return side.hint("shuffle_hash") if written.count() * row_bytes <= most else side
