@@ -10,39 +10,47 @@ corpus (suffix) order. That order is never built over the whole text; it is take
 2. Phrases. Consecutive windows with one trigger are a phrase: it overlaps the next by length - 1
    bytes, so each window lies in exactly one phrase. The dictionary holds each distinct phrase once,
    with its number of occurrences; the parse says which phrase starts where.
-3. Order. A phrase that the parse holds twice repeats with all its windows. Other windows can only
-   equal windows of dictionary phrases with the same trigger string: the suffixes of these phrases are
-   brought in order, cut to `length` bytes (by their hashes, which is enough to find equal ones), and
-   runs of equal suffixes whose phrases occur twice or more in all are repeated. Phrases with a trigger
-   string that more than HOT_PHRASES others share are spread by suffix instead of by trigger.
-4. Ranges of repeated windows are merged per document, and their bytes removed.
-
-Hashes have 64 bits; phrases and suffixes are only compared under an equal trigger hash, so 128 decide.
+3. Order. A phrase that the parse holds twice repeats with all its windows; phrases that make up more
+   than one in OFTEN of the parse are looked up apart from the rest. Other windows can only equal windows
+   of dictionary phrases with the same trigger string: the suffixes of these phrases are brought in byte
+   order, to a depth of `length` bytes, by prefix doubling (the suffix array of a trigger's part of the
+   dictionary), with the parse's number of occurrences for each phrase. Neighbours in that order that
+   share `length` bytes and occur twice or more in all are repeated. Phrases with a trigger string that
+   more than HOT_PHRASES others share are spread over tasks by the hashes of their suffixes instead.
+4. Ranges of repeated windows are merged per document, and their bytes removed. removed_text() can leave
+   merged ranges of fewer than `least_words` whole words in place.
+
+Hashes have 64 bits; phrases and spread suffixes are only compared under an equal trigger hash, so 128 decide.
 
 Defined cases: null text is empty; texts shorter than `length` lose nothing; a null or repeated doc_id
 keeps its row and is told apart by the text's hash; a cut inside a character leaves its other bytes in
 the digest, and removed_text() drops them; repeated rows repeat each other; an empty table gives an
-empty result; other columns are carried by removed_text() and never read.
+empty result; other columns, whatever their names, are carried by removed_text() and never read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planwise.llm.grouped import whole_groups
+from planwise.llm.grouped import changes, whole_groups
 from planwise.llm.piececache import spans
-from planwise.llm.storage import materialize
+from planwise.llm.storage import drop, fresh, hash_side, materialize
 from planwise.llm.textkernel import hash_of, mix64, prefix_hash, steps, text_bytes
 
 LENGTH = 400
 ANCHOR = 64
 HOT_PHRASES = 4096
+#: Phrases of more than one OFTEN-th of the parse: there are fewer than OFTEN of them, whatever the corpus.
+OFTEN = 10_000
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -91,14 +99,34 @@ def _parse(length: int, anchor: int):
     return run
 
 
-def _suffixes(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, offset and hash (with the row's trigger) of the suffixes of the phrases in t."""
+def ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Place of each position's next `length` bytes in byte order, equal strings alike: a suffix array to that depth, by prefix doubling.
+
+    Places of strings that go beyond the end are of no meaning.
+    """
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    width = min(8, length)
+    first = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        first |= padded[k : k + n] << np.uint64(56 - 8 * k)
+    rank = np.unique(first, return_inverse=True)[1]
+    while width < length:
+        step = min(width, length - width)
+        after = np.zeros(n, dtype=np.int64)
+        after[: max(n - step, 0)] = rank[step:]
+        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1]
+        width += step
+    return rank
+
+
+def _windows(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the phrases in t, and row, offset and place in the bytes of their windows."""
     data, offsets = text_bytes(t.column("bytes"))
     n = np.maximum(np.diff(offsets) - length + 1, 0)
     start = spans(offsets[:-1], n)
     row = np.repeat(np.arange(len(n)), n)
-    key = t.column("key").to_numpy().view(np.uint64)
-    return row, start - offsets[row], mix64(hash_of(prefix_hash(data), start, start + length) ^ mix64(key)[row])
+    return data, row, start - offsets[row], start
 
 
 def _ranges(t: pa.Table, row: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
@@ -118,13 +146,14 @@ def _shared(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, 1):
             for t in _pieces(table):
-                row, off, h = _suffixes(t, length)
-                order = np.argsort(h, kind="stable")
-                new = np.append(True, h[order][1:] != h[order][:-1])
-                run_of = np.cumsum(new) - 1
+                data, row, off, start = _windows(t, length)
+                trigger = np.repeat(np.arange(len(g := changes(t, 1))), np.diff(np.append(g, t.num_rows)))
+                place = trigger[row] * (len(data) + 1) + ranks(data, length)[start]
+                order = np.argsort(place, kind="stable")  # the dictionary's suffixes of each trigger, in byte order
+                run_of = np.cumsum(np.append(False, place[order][1:] != place[order][:-1])) if len(order) else order
                 c = t.column("c").to_numpy()
                 total = np.bincount(run_of, weights=c[row[order]])
-                again = np.zeros(len(h), dtype=bool)
+                again = np.zeros(len(place), dtype=bool)
                 again[order] = total[run_of] >= 2
                 again &= c[row] == 1  # the others repeat as a whole
                 yield _ranges(t, row[again], off[again])
@@ -134,8 +163,6 @@ def _shared(length: int):
 
 def _pieces(t: pa.Table) -> Iterator[pa.Table]:
     """Whole groups of about a thousand rows at a time."""
-    from planwise.llm.grouped import changes
-
     starts = [*changes(t, 1).tolist(), t.num_rows]
     at = 0
     for s, e in zip(starts[:-1], starts[1:], strict=True):
@@ -151,7 +178,9 @@ def _spread(length: int):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 t = pa.Table.from_batches([b.slice(at, 1000)])
-                row, off, h = _suffixes(t, length)
+                data, row, off, start = _windows(t, length)
+                key = t.column("key").to_numpy().view(np.uint64)
+                h = mix64(hash_of(prefix_hash(data), start, start + length) ^ mix64(key)[row])
                 take = pa.array(row)
                 low = t.column("low").to_numpy()[row]
                 yield pa.RecordBatch.from_arrays([
@@ -161,8 +190,8 @@ def _spread(length: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_phrases: int = HOT_PHRASES) -> DataFrame:
-    """(doc_id, text_hash, s, e): windows s..e of docs(doc_id, text_hash, text) that start elsewhere, too."""
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot_phrases: int = HOT_PHRASES, often: int = OFTEN) -> DataFrame:
+    """(doc_id, text_hash, s, e): windows s..e of docs(doc_id, text_hash, text) that start elsewhere, too; a written table."""
     if not 0 < anchor <= length:
         raise ValueError("the trigger string must fit into the window")
     place = "doc_id long, text_hash long"
@@ -170,20 +199,31 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     dictionary = parse.groupBy("key", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "text_hash", "low", "n")).alias("at"))
     keys = dictionary.groupBy("key").agg(F.sum("c").alias("total"), F.count("*").alias("d")).where("total > 1")
     dictionary = materialize(dictionary.join(keys, "key").select("key", "phrase", "c", "d", "at.*"), "dictionary")
-    whole = parse.join(dictionary.where("c > 1").select("key", "phrase"), ["key", "phrase"], "left_semi").select("doc_id", "text_hash", F.col("low").alias("s"), (F.col("low") + F.col("n") - 1).alias("e"))
+    # counts add up to the parse's rows, so fewer than `often` phrases can be above this bar: few enough to broadcast
+    bar = max(1, parse.count() // often)
+    phrase = ["key", "phrase"]
+    common = F.broadcast(dictionary.where(F.col("c") > bar).select(*phrase))
+    rest = dictionary.where((F.col("c") > 1) & (F.col("c") <= bar)).select(*phrase)
+    whole = parse.join(common, phrase, "left_semi").union(parse.join(common, phrase, "left_anti").join(rest, phrase, "left_semi").select(*parse.columns))
+    whole = whole.select("doc_id", "text_hash", F.col("low").alias("s"), (F.col("low") + F.col("n") - 1).alias("e"))
     # phrases that share their trigger string with others, with their bytes: texts probe the few phrases
-    mixed = dictionary.where("d > 1").hint("shuffle_hash")
+    mixed = hash_side(dictionary, 64, dictionary.where("d > 1"))
     texts = docs.where(F.octet_length("text") >= length).withColumnsRenamed({"doc_id": "t_id", "text_hash": "t_hash"})
     cut = F.substr(F.col("text").cast("binary"), F.col("low") + 1, F.col("n") + (length - 1))
     mixed = texts.join(mixed, (F.col("t_hash") == F.col("text_hash")) & F.col("t_id").eqNullSafe(F.col("doc_id"))).select("key", "c", "d", "doc_id", "text_hash", "low", "phrase", cut.alias("bytes"))
-    mixed = materialize(mixed.dropDuplicates(["key", "phrase"]), "mixed")
+    mixed = materialize(mixed.dropDuplicates(phrase), "mixed")
     columns = ["key", "c", "doc_id", "text_hash", "low", "bytes"]
     near = mixed.where(F.col("d") <= hot_phrases).select(*columns).repartition("key").sortWithinPartitions("key")
     near = near.mapInArrow(_shared(length), f"{place}, s int, e int")
     hot = mixed.where(F.col("d") > hot_phrases).select(*columns).mapInArrow(_spread(length), f"h long, c long, {place}, s int")
     again = hot.groupBy("h").agg(F.sum("c").alias("k")).where("k > 1").select("h")
-    hot = hot.where("c = 1").join(again, "h", "left_semi").select("doc_id", "text_hash", "s", F.col("s").alias("e"))
-    return whole.union(near).union(hot)
+    hot = hot.where("c = 1").join(again, "h", "left_semi").select("doc_id", "text_hash", "s").distinct()
+    # windows next to each other in a document become one range
+    hot = hot.withColumn("run", F.col("s") - F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("s")))
+    hot = hot.groupBy("doc_id", "text_hash", "run").agg(F.min("s").alias("s"), F.max("s").alias("e")).drop("run")
+    out = materialize(whole.union(near).union(hot), "ranges")
+    drop(parse, dictionary, mixed)
+    return out
 
 
 def _merged(ranges: list | None, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +238,20 @@ def _merged(ranges: list | None, length: int) -> tuple[np.ndarray, np.ndarray]:
     return x[first, 0], end[np.append(first[1:], len(x)) - 1]
 
 
-def _kept(text: str | None, ranges: list | None, length: int) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+def _whole_words(raw: bytes, s: int, e: int) -> int:
+    """Words of a text that lie in s..e as a whole."""
+    n = sum(1 for _ in _WORD.finditer(raw, s, e))
+    begun, goes_on = s > 0 and _WORD.match(raw, s - 1, s + 1), e < len(raw) and _WORD.match(raw, e - 1, e + 1)
+    n -= bool(begun and begun.end() == s + 1) + bool(goes_on and goes_on.end() == e + 1)
+    return max(n, 0)
+
+
+def _kept(text: str | None, ranges: list | None, length: int, least_words: int = 0) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
     raw = (text or "").encode()
     s, e = _merged(ranges, length)
+    if least_words:
+        long = np.array([_whole_words(raw, a, b) >= least_words for a, b in zip(s.tolist(), e.tolist(), strict=True)], dtype=bool)
+        s, e = s[long], e[long]
     parts, at = [], 0
     for a, b in zip(s.tolist(), e.tolist(), strict=True):
         parts.append(raw[at:a])
@@ -223,20 +274,23 @@ def _digest(length: int):
     return run
 
 
-def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """docs with text_hash and _ranges; every other column is kept."""
-    x = docs.withColumn("text", F.col("text").cast("string")).withColumn("_hash", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    places = x.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_hash").alias("text_hash"), "text")
-    found = repeated_ranges(places, length).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", "e")).alias("_ranges"))
-    found = found.withColumnRenamed("doc_id", "_doc").hint("shuffle_hash")
-    return x.join(found, (x["_hash"] == found["text_hash"]) & x["doc_id"].cast("long").eqNullSafe(found["_doc"]), "left")
+def _with_ranges(docs: DataFrame, length: int, anchor: int = ANCHOR) -> tuple[DataFrame, str]:
+    """docs with a column of ranges, and its name; every other column is kept."""
+    own, name = fresh("text_hash", docs), fresh("ranges", docs)
+    x = docs.withColumn("text", F.col("text").cast("string")).withColumn(own, F.coalesce(F.xxhash64("text"), F.lit(0)))
+    places = x.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(own).alias("text_hash"), "text")
+    r_doc, r_hash = fresh("r_doc", x), fresh("r_hash", x)
+    ranges = repeated_ranges(places, length, anchor)
+    found = ranges.groupBy(F.col("doc_id").alias(r_doc), F.col("text_hash").alias(r_hash)).agg(F.collect_set(F.struct("s", "e")).alias(name))
+    found = hash_side(ranges, 64, found)
+    return x.join(found, (F.col(own) == F.col(r_hash)) & F.col("doc_id").cast("long").eqNullSafe(F.col(r_doc)), "left").select(*docs.columns, name), name
 
 
-def _text(length: int) -> Column:
+def _text(length: int, least_words: int) -> Column:
     def run(text, ranges):
         import pandas as pd
 
-        return pd.Series([t if r is None or not len(r) else _kept(t, list(r), length)[1].decode("utf-8", "ignore") for t, r in zip(text, ranges, strict=True)])
+        return pd.Series([t if r is None or not len(r) else _kept(t, list(r), length, least_words)[1].decode("utf-8", "ignore") for t, r in zip(text, ranges, strict=True)])
 
     from pyspark.sql.functions import pandas_udf
     from pyspark.sql.pandas.functions import PandasUDFType
@@ -244,17 +298,17 @@ def _text(length: int) -> Column:
     return pandas_udf(run, "string", PandasUDFType.SCALAR)
 
 
-def removed_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs without the bytes that repeat; n_chars, where there is one, follows the text."""
-    x = _with_ranges(docs, length)
-    out = x.withColumn("text", F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(_text(length)("text", "_ranges")))
+def removed_text(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, least_words: int = 0) -> DataFrame:
+    """docs without the bytes that repeat, in runs of `least_words` whole words or more; n_chars, where there is one, follows the text."""
+    x, ranges = _with_ranges(docs, length, anchor)
+    out = x.withColumn("text", F.when(F.col(ranges).isNull(), F.col("text")).otherwise(_text(length, least_words)("text", ranges)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col(ranges).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(*docs.columns)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    x = _with_ranges(docs, LENGTH).select(docs["doc_id"].cast("long").alias("doc_id"), "text", "_ranges")
-    return x.mapInArrow(_digest(LENGTH), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    x, ranges = _with_ranges(docs, LENGTH)
+    return x.select("doc_id", "text", ranges).mapInArrow(_digest(LENGTH), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
