@@ -4,13 +4,16 @@ A document's set holds its distinct word shingles. Two documents link when their
 similarity is at least `percent` hundredths.
 
 1. Every document gets its set's size and a 128-bit fingerprint; documents with equal sets are one
-   class and need no comparison.
+   class, a node with an id of its own, and need no comparison. All that follows sees each class once.
 2. Documents that can link meet by prefix filtering: ordered by a global order, two linked sets share
    one of their first |A| - ceil(percent |A| / 100) + 1 shingles. The order puts rare shingles first,
    by a table of counts that all documents are hashed into. The table has a fixed size: it decides
    how well candidates are chosen, never which links are found.
-3. In each shingle's list, in order of size, neighbours whose sizes allow a link are chained. The
-   components of these chains are the candidate groups; no link crosses them.
+3. In each rare shingle's list, which its counter bounds, neighbours in order of size whose sizes allow
+   a link are chained. Lists of shingles whose counters are full have no bound: they are cut by size
+   (linked sets are in the same or the next step, and each set is in both) and by salt, each part is
+   joined to its least node, and these to the least of all parts. The components are the candidate
+   groups; no link crosses them.
 4. Each group builds a signature tree: nodes hold the OR of their documents' token bitmaps, with the
    greatest count per bit, and the range of sizes. A dual traversal leaves out pairs of nodes whose
    maximum possible overlap is too small, and pairs already joined; leaf pairs are verified exactly.
@@ -18,8 +21,9 @@ similarity is at least `percent` hundredths.
 
 Defined cases: null and empty texts, and texts without words, have size 0 and link with nothing;
 fewer words than the width make one shingle of the whole sequence; repeated rows are equal sets;
-a null doc_id keeps its row and links with nothing; an empty table gives an empty result; other
-columns are never read.
+a null doc_id keeps its row and links with nothing; rows of one doc_id with different texts are
+documents of their own, each in its own component, which is named by its least doc_id; an empty table
+gives an empty result; other columns, whatever their names, are carried by representatives() and never read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from planwise.llm.components import connected_components
 from planwise.llm.grouped import groups
-from planwise.llm.storage import materialize
+from planwise.llm.storage import drop, fresh, hash_side, materialize
 from planwise.llm.textkernel import mix64, shingle_hashes, steps, text_bytes
 
 WIDTH = 4
@@ -44,6 +48,10 @@ COUNTERS = 24
 CHUNK_COUNTERS = 1 << 18
 GROUP_ROWS = 1024
 FANOUT = 4
+#: Counters are full at this count, and shingles with full counters common.
+FULL = 255
+#: Parts of a common shingle's list, for each step of sizes.
+SALTS = 1024
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -63,7 +71,7 @@ def _counts(width: int, bits: int):
             for part in steps(batch):
                 sets = shingle_hashes(*text_bytes(part.column(0)), width)
                 at, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
-                table[at] = np.minimum(table[at] + n, 255)
+                table[at] = np.minimum(table[at] + n, FULL)
         if table.any():
             for at in range(0, len(table), CHUNK_COUNTERS):
                 chunk = table[at : at + CHUNK_COUNTERS].astype(np.uint8)
@@ -77,7 +85,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in groups(batches, 1):
         out = np.zeros(CHUNK_COUNTERS, dtype=np.uint16)
         for x in t.column(1):
-            out = np.minimum(out + np.frombuffer(x.as_buffer(), dtype=np.uint8), 255)
+            out = np.minimum(out + np.frombuffer(x.as_buffer(), dtype=np.uint8), FULL)
         yield pa.RecordBatch.from_arrays([t.column(0).slice(0, 1).combine_chunks(), pa.array([out.astype(np.uint8).tobytes()])], ["at", "counts"])
 
 
@@ -91,30 +99,35 @@ def shingle_counts(docs: DataFrame, width: int = WIDTH, bits: int = COUNTERS) ->
     return table
 
 
-def _prefixes(width: int, percent: int, table, bits: int):
-    """Two kinds of rows: each document's (doc_id, f1, f2, n), and its class's prefix (f1, n, tokens)."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in arrays], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _prefixes(width: int, percent: int, table, bits: int, full: int):
+    """Each document's (doc_id, text_hash, f1, f2, n) with its prefix: the rare and the common shingles in it, by whether their counters are below `full`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, shift = table.value, np.uint64(64 - bits)
         for batch in batches:
             for part in steps(batch):
-                f1, f2, size, prefix = [], [], [], []
+                f1, f2, size, rare, common = [], [], [], [], []
                 for s in shingle_hashes(*text_bytes(part.column(1)), width):
                     a, b = fingerprint(s)
                     f1.append(a)
                     f2.append(b)
                     size.append(len(s))
                     k = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                    c = counts[(s >> shift).astype(np.int64)]
                     if k < len(s):
-                        c = counts[(s >> shift).astype(np.int64)]
                         cut = np.partition(c, k - 1)[k - 1]
-                        low = s[c < cut]
-                        s = np.concatenate([low, s[c == cut][: k - len(low)]])
-                    prefix.append(s.view(np.int64))
-                offsets = np.zeros(len(prefix) + 1, dtype=np.int32)
-                np.cumsum([len(p) for p in prefix], out=offsets[1:])
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefix)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), tokens], ["doc_id", "f1", "f2", "n", "tokens"])
+                        low, even = np.flatnonzero(c < cut), np.flatnonzero(c == cut)
+                        own = np.concatenate([low, even[: k - len(low)]])
+                        s, c = s[own], c[own]
+                    rare.append(s[c < full])
+                    common.append(s[c >= full])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), _lists(rare), _lists(common)], ["doc_id", "text_hash", "f1", "f2", "n", "rare", "common"])
 
     return run
 
@@ -203,7 +216,7 @@ def tree_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT,
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 3):
-            ids = t.column("doc_id").to_numpy()
+            ids = t.column("node").to_numpy()
             ids, first = np.unique(ids, return_index=True)
             if len(ids) < 2:
                 continue
@@ -221,44 +234,77 @@ def _verify(width: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = COUNTERS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
+def _chains(sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): edges whose components no link of sets(node, n, rare, common) crosses."""
+    order = Window.partitionBy("token").orderBy("n", "node")
+    near = sets.select("node", "n", F.explode("rare").alias("token")).select("node", "n", F.lag("node").over(order).alias("p"), F.lag("n").over(order).alias("pn"))
+    near = near.where(f"100 * pn >= {percent} * n").select("node", "p")
+    # sizes of linked sets are at most one step apart; the step is widened by more than logarithms are off
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1.0))
+    far = sets.where(F.size("common") > 0).select("node", "n", F.explode("common").alias("token")).select("node", "token", F.explode(F.array(step, step + 1)).alias("step"))
+    part = ["token", "step", "salt"]
+    far = far.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    star = far.select("node", F.min("node").over(Window.partitionBy(*part)).alias("p"))
+    tops = far.groupBy(*part).agg(F.min("node").alias("node"))  # SALTS rows at most for each token and step
+    tops = tops.select("node", F.min("node").over(Window.partitionBy("token", "step")).alias("p"))
+    return near.union(star).union(tops).where("node <> p").distinct()
+
+
+def _rows(docs: DataFrame, width: int, percent: int, bits: int, group_rows: int, full: int = FULL) -> DataFrame:
+    """(doc_id, text_hash, n, component_id, leader_hash) for each row of docs(doc_id, text): the last two name the least row of its component; a written table."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     table = spark.sparkContext.broadcast(shingle_counts(docs, width, bits))
-    x = docs.mapInArrow(_prefixes(width, percent, table, bits), "doc_id long, f1 long, f2 long, n long, tokens array<long>")
-    # one pass over the texts gives both: prefixes stay with their document until they are dealt
-    x = materialize(x, "prefixes")
+    x = materialize(docs.mapInArrow(_prefixes(width, percent, table, bits, full), "doc_id long, text_hash long, f1 long, f2 long, n long, rare array<long>, common array<long>"), "prefixes")
     known = x.where("n > 0 and doc_id is not null")
-    tokens = known.select("f1", "n", F.explode("tokens").alias("token"))
-    order = Window.partitionBy("token").orderBy("n", "f1")
-    before = tokens.select("f1", "n", F.lag("f1").over(order).alias("p1"), F.lag("n").over(order).alias("pn"))
-    chains = before.where(f"p1 <> f1 and 100 * pn >= {percent} * n").select("f1", "p1").distinct()
-    found = materialize(connected_components(chains), "candidates")
-    nodes = found.select(F.col("node").alias("f1"), F.col("component").alias("grp")).union(found.select("component", "component")).distinct()
-
-    # one document stands for each class of equal sets
-    classes = known.select("doc_id", "f1", "f2").join(nodes, "f1").groupBy("grp", "f1", "f2").agg(F.min("doc_id").alias("doc_id"))
-    sizes = classes.groupBy("grp").count()
-    classes = classes.join(sizes.where("count > 1"), "grp")
+    # one node for each class of equal sets; the ids are fixed once the table is written
+    sets = known.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("common").alias("common"))
+    sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    found = connected_components(_chains(sets, percent))
+    groups = found.select("node", F.col("component").alias("grp")).union(found.select("component", "component")).distinct()
+
+    # one document stands for each class
+    sizes = groups.groupBy("grp").count()
+    classes = sets.select("node", "least.*").join(groups, "node").join(sizes, "grp")
     chunks = F.when(F.col("count") <= group_rows, F.lit(1)).otherwise(F.ceil(F.col("count") * 2 / group_rows)).cast("int")
-    classes = classes.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    classes = materialize(classes.select("grp", "chunks", "chunk", "doc_id"), "classes")
-    # one plan at every size: texts are dealt once and probe the few classes, without a sort
-    y = docs.join(classes.hint("shuffle_hash"), "doc_id").select("grp", "chunks", "chunk", "doc_id", "text")
+    classes = classes.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    classes = materialize(classes.select("grp", "chunks", "chunk", "node", "doc_id", "text_hash"), "classes")
+    # texts are dealt once and probe the few classes
+    y = docs.join(hash_side(classes, 64), ["doc_id", "text_hash"]).select("grp", "chunks", "chunk", "node", "text")
     y = y.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    y = y.select("grp", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "doc_id", "text")
+    y = y.select("grp", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "node", "text")
     # texts travel rather than sets: hashes don't compress
     y = y.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b")
-    links = y.mapInArrow(_verify(width, percent), "u long, v long")
-    joined = connected_components(links)
-
-    # documents of a class share their least id's component
-    per = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
-    per = per.join(joined.withColumnRenamed("node", "least"), "least", "left").select("f1", "f2", F.coalesce("component", "least").alias("component_id"))
-    linked_rows = known.select("doc_id", "f1", "f2", "n").join(per, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = x.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked_rows.union(alone)
+    joined = connected_components(y.mapInArrow(_verify(width, percent), "u long, v long"))
+
+    # documents of a class share its component, which is named by its least row
+    per = sets.select("f1", "f2", "node", "least").join(joined, "node", "left").select("f1", "f2", "least", F.coalesce("component", "node").alias("component"))
+    per = per.select("f1", "f2", "component").join(per.groupBy("component").agg(F.min("least").alias("least")), "component").select("f1", "f2", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("leader_hash"))
+    linked_rows = known.select("doc_id", "text_hash", "f1", "f2", "n").join(per, ["f1", "f2"]).select("doc_id", "text_hash", "n", "component_id", "leader_hash")
+    alone = x.where("n = 0 or doc_id is null").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.col("text_hash").alias("leader_hash"))
+    out = materialize(linked_rows.union(alone), "near")
+    drop(x, sets, found, classes, joined)
+    return out
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, bits: int = COUNTERS, group_rows: int = GROUP_ROWS, full: int = FULL) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text)."""
+    return _rows(docs, width, percent, bits, group_rows, full).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int, percent: int, bits: int = COUNTERS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Of each component of docs(doc_id, text) the least row by doc_id, then text hash, once; rows that link with nothing all stay.
+
+    These are documents without words and those with a null doc_id. Of rows of equal doc_id and text, one stays, whichever it is.
+    """
+    rows = _rows(docs, width, percent, bits, group_rows)
+    own, k_doc, k_hash = fresh("text_hash", docs), fresh("k_doc", docs), fresh("k_hash", docs)
+    kept = rows.where("doc_id = component_id and text_hash = leader_hash and n > 0").select(F.col("doc_id").alias(k_doc), F.col("text_hash").alias(k_hash)).distinct()
+    text = F.col("text").cast("string")
+    alone = F.col("doc_id").isNull() | ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    linked_docs = docs.where(~alone).withColumn(own, F.xxhash64(text))
+    linked_docs = linked_docs.join(kept, (F.col("doc_id").cast("long") == F.col(k_doc)) & (F.col(own) == F.col(k_hash)), "left_semi").dropDuplicates(["doc_id", own])
+    return linked_docs.select(*docs.columns).union(docs.where(alone))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
