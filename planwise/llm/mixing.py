@@ -10,7 +10,7 @@ of FAN x FAN cells per source. Windows over at most FAN cells find the one cell
 budget ends; only that cell's documents are ordered, and the rest are taken or left by their cell.
 
 Defined cases: null text has size 0; a document of size 0 takes 0 words; a null source is a source of
-its own, last in code point order; repeated rows each count; an empty table gives an empty result; a
+its own, last in code point order; a null doc_id keeps its row; repeated rows each count; an empty table gives an empty result; a
 source whose size is 0 has target 0; columns of other names are carried by mix() and never read.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from planwise.llm.storage import materialize
+from planwise.llm.storage import drop, fresh, materialize
 
 #: Target weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -75,13 +75,13 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, cut_last: bool = True) -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) for each row of docs(doc_id, text, source).
+    """(doc_id, text_hash, size, source, source_size, target, taken) for each row of docs(doc_id, text, source).
 
     cut_last: the document in which the budget ends gives only the words up to it; otherwise it is
     taken whole if that comes nearer to the budget.
     """
     spark = docs.sparkSession
-    x = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    x = docs.select("doc_id", "source", F.xxhash64(F.col("text").cast("string")).alias("text_hash"), word_count(F.col("text")).alias("size"))
     if labels is not None:
         x = x.join(quality_weights(labels), "doc_id", "left")
     else:
@@ -89,7 +89,7 @@ def plan_mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED,
     key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce("quality_weight", F.lit(UNKNOWN))
     # 1 - exp(-key) rises with the key from 0 to 1, and spreads keys over cells
     cell = F.least(F.floor((1 - F.exp(-key)) * (FAN * FAN)), F.lit(FAN * FAN - 1)).cast("int")
-    x = materialize(x.select("doc_id", "source", "size", key.alias("key"), cell.alias("cell")), "mix")
+    x = table = materialize(x.select("doc_id", "source", "text_hash", "size", key.alias("key"), cell.alias("cell")), "mix")
 
     cells = x.groupBy("source", "cell").agg(F.sum("size").alias("n"))
     coarse = x.groupBy("source", F.floor(F.col("cell") / FAN).cast("int").alias("coarse")).agg(F.sum("size").alias("n"))
@@ -114,27 +114,38 @@ def plan_mix(docs: DataFrame, labels: DataFrame | None = None, seed: str = SEED,
     x = x.withColumn("k_source", F.struct("source")).join(t, "k_source")
     whole = F.col("epochs") * F.col("size")
     in_end = F.coalesce(F.col("cell") == F.col("end_cell"), F.lit(False))
-    columns = ["doc_id", "size", "source", "source_size", "target"]
+    columns = ["doc_id", "text_hash", "size", "source", "source_size", "target"]
     # without an end cell the rest is the whole source, or nothing
     taken = F.when(F.col("end_cell").isNull(), F.when(F.col("rest") >= F.col("source_size"), F.col("size")).otherwise(F.lit(0)))
     taken = taken.otherwise(F.when(F.col("cell") < F.col("end_cell"), F.col("size")).otherwise(F.lit(0)))
     clear = x.where(~in_end).select(*columns, (whole + taken).cast("long").alias("taken"))
-    order = Window.partitionBy("k_source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("k_source").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("end_before") - F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.greatest(F.lit(0), F.least("size", left)) if cut_last else F.when(left * 2 > F.col("size"), F.col("size")).otherwise(F.lit(0))
     last = x.where(in_end).select(*columns, (whole + part).cast("long").alias("taken"))
-    return clear.union(last)
+    out = clear.union(last)
+    out._planwise_path = table._planwise_path  # for drop()
+    return out
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, whole, with the columns of docs.
 
-    Documents that the mix leaves out, and those without words, go.
+    Documents that the mix leaves out, and those without words, go. Rows of equal doc_id, source and text
+    that the mix takes differently often share out what it takes of them all.
     """
     plan = plan_mix(docs, labels, cut_last=False, **options)
-    copies = plan.where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("_copies")).groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    out = docs.where(word_count(F.col("text")) > 0).join(copies, "doc_id")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    name, times, more, copy = (fresh(n, docs) for n in ("row_key", "times", "more", "copy"))
+    counted = plan.where("taken > 0").groupBy(F.struct("doc_id", "source", "text_hash").alias(name)).agg(F.sum((F.col("taken") / F.col("size")).cast("long")).alias("t"))
+    rows = plan.where("size > 0").groupBy(F.struct("doc_id", "source", "text_hash").alias(name)).agg(F.count("*").alias("rows"))
+    shares = counted.join(rows, name).select(name, F.floor(F.col("t") / F.col("rows")).cast("int").alias(times), (F.col("t") % F.col("rows")).cast("int").alias(more))
+    shares = materialize(shares, "shares")
+    drop(plan)
+    x = docs.withColumn(name, F.struct(F.col("doc_id"), F.col("source"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
+    out = x.join(shares.where(F.col(times) > 0).drop(more), name).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    # equal rows among which a source's budget ends: one of them gives the rest
+    split = x.join(shares.where(F.col(more) > 0).drop(times), name).dropDuplicates([name])
+    return out.union(split.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(more)))).select(*docs.columns))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
