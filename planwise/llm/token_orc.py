@@ -5,7 +5,7 @@ them in Arrow batches. Each file has stripes that readers take in parallel; row
 maxima per row group) and Bloom filters on doc_id let a read by id skip files, stripes and row groups.
 
 Defined cases: null text is encoded as empty and gives only the end id; a null doc_id sorts first;
-repeated doc_ids are all kept, next to each other; an empty table gives an empty result; other
+repeated doc_ids are all kept, next to each other, and start where they lie in the files; an empty table gives an empty result; other
 columns are never read.
 """
 
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planwise.llm.grouped import changes
 from planwise.llm.piececache import CachedEncoder, spans
 from planwise.llm.storage import delete, materialize, new_path
 from planwise.llm.textkernel import hash_of, prefix_hash, steps, text_bytes
@@ -163,7 +164,7 @@ def _encode(vocabulary: str, end_id: int | None):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int | None = END_ID) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int | None = END_ID, stripe_bytes: int = STRIPE_BYTES) -> None:
     """Encode docs(doc_id, text) and write them to ORC files under path, in ascending doc_id order."""
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the hash parts repeated ids, however many; it is no part of the order
@@ -175,7 +176,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
         "orc.bloom.filter.fpp": "0.01",
         "orc.create.index": "true",
         "orc.row.index.stride": str(ROW_GROUP),
-        "orc.stripe.size": str(STRIPE_BYTES),
+        "orc.stripe.size": str(stripe_bytes),
+        "orc.rows.between.memory.checks": str(ROW_GROUP),  # long documents fill a stripe soon
     }).orc(path)
 
 
@@ -198,28 +200,37 @@ def stripe_metadata(path: str) -> list[dict]:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests with each row's place among those that are read from one part of a file: such rows follow each other, as in the file."""
+    at, n = None, 0
     for b in batches:
-        ids = b.column(2)
+        ids = b.column(3)
         offsets = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
         raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), dtype="<u4")).cast("B")
         crc = [zlib.crc32(raw[4 * int(s) : 4 * int(e)]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["part", "doc_id", "n_tokens", "ids_crc32"])
+        place = np.arange(len(ids))
+        for s, e in zip(c := [*changes(b, 2).tolist(), len(ids)], c[1:]):
+            now = (b.column(0)[s].as_py(), b.column(1)[s].as_py())
+            n = n if now == at else 0
+            place[s:e] += n - s
+            at, n = now, n + e - s
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(place), b.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["part", "block", "place", "doc_id", "n_tokens", "ids_crc32"])
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of token files: where each document's ids start, how many, and their checksum.
 
-    Ids before a document are those of earlier files plus those before it in its file, so no task
-    sees more than one file's rows, or one row per file.
+    Tasks read the stripes of a file apart. Ids before a document are those of earlier files and of earlier
+    parts of its file, and those before it in its part, so no task sees more than one part's rows, or one
+    row per part.
     """
-    x = read_tokens(spark, path).select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"), "doc_id", "ids")
-    x = materialize(x.mapInArrow(_digest, "part int, doc_id long, n_tokens long, ids_crc32 long"), "digest")
-    files = x.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(files, "part")
-    return x.select("doc_id", (F.col("file_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    x = read_tokens(spark, path).select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"), F.col("_metadata.file_block_start").alias("block"), "doc_id", "ids")
+    x = materialize(x.mapInArrow(_digest, "part int, block long, place long, doc_id long, n_tokens long, ids_crc32 long"), "digest")
+    parts = x.groupBy("part", "block").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
+    inside = Window.partitionBy("part", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, ["part", "block"])
+    return x.select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
