@@ -5,11 +5,13 @@ P(grade > k) = 1 / (1 + exp(threshold_k - w.x)): the grades share the weights w
 gives each document its expected grade and the probability of a grade of LEAST_GRADE at least, by which
 documents are selected. It is fitted on at most SAMPLE labelled documents.
 
-Grades: 0 for bad quality, 1 for good quality but toxic, 2 for good quality.
+Grades: 0 for bad quality, 1 for good quality but toxic, 2 for good quality. As LEAST_GRADE is 1, selection
+rejects bad quality alone; toxic documents stay, and take a `least` grade of 2 to go.
 
 Defined cases: null and empty texts have no words, and are scored from the thresholds alone; labels
 with a null are left out; without labels of two grades every document is kept; an empty table gives an
-empty result; repeated rows score alike; select_good() carries all columns.
+empty result; repeated rows score alike; select_good() carries all columns, whatever their names, and graded()
+gives its own columns other names where docs has such.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from planwise.llm.lexical import BUCKETS, SAMPLE, SHAPES, presence, sample, select, shapes
+from planwise.llm.storage import fresh
 from planwise.llm.textkernel import release, steps, text_bytes
 
 GRADES = 3
@@ -103,7 +107,7 @@ def linear(data: np.ndarray, offsets: np.ndarray, ws: np.ndarray, chosen: np.nda
     return z
 
 
-def _grade(model):
+def _grade(model, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ws, chosen, wf, th = model.value
         keep = np.zeros(BUCKETS, dtype=bool)
@@ -112,7 +116,7 @@ def _grade(model):
             column = batch.schema.get_field_index("text")
             for part in steps(batch):
                 tail = tails(linear(*text_bytes(part.column(column)), ws, chosen, wf, keep), th)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tail.sum(axis=1)), pa.array(tail[:, LEAST_GRADE - 1])], [*part.schema.names, "expected_grade", "p_selected"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tail.sum(axis=1)), pa.array(tail[:, LEAST_GRADE - 1])], [*part.schema.names, *names])
 
     return run
 
@@ -123,13 +127,13 @@ def graded(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(train, train.column("grade").to_numpy().astype(np.int64)))
     del train
     release()
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_grade(model), f"{kind}, expected_grade double, p_selected double")
+    names = fresh("expected_grade", docs), fresh("p_selected", docs)
+    return docs.mapInArrow(_grade(model, names), StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in names)]))
 
 
 def select_good(docs: DataFrame, labels: DataFrame, least: float = LEAST_PROBABILITY) -> DataFrame:
     """The documents whose grade is LEAST_GRADE or more with probability `least`, with the columns of docs."""
-    return graded(docs, labels).where(F.col("p_selected") >= least).select(*docs.columns)
+    return graded(docs, labels).where(F.col(fresh("p_selected", docs)) >= least).select(*docs.columns)
 
 
 def op9_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
