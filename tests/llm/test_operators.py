@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from planwise.llm import html_extract, maxscore, mixing, ngram_join, quality_ordinal, sentence_pieces, suffix_dedup, token_orc, toxicity, vector_join
 from planwise.llm.components import forest
@@ -48,25 +49,89 @@ def test_ngram_join(spark):
     assert got == {i: (len(s), int(want[i])) for i, s in enumerate(sets)}
 
 
+def windows(raws, length):
+    """Places (row, offset) of byte strings that start at two places."""
+    seen = {}
+    for raw in raws:
+        for p in range(len(raw) - length + 1):
+            seen[raw[p : p + length]] = seen.get(raw[p : p + length], 0) + 1
+    return {(i, p) for i, raw in enumerate(raws) for p in range(len(raw) - length + 1) if seen[raw[p : p + length]] > 1}
+
+
 def test_suffix_dedup(spark):
     texts = corpus()
-    raws = [(t or "").encode() for t in texts]
-    for hot in (4096, 1):
-        x = suffix_dedup._with_ranges(frame(spark, texts), 100) if hot == 4096 else None
-        places = frame(spark, texts).select("doc_id", "text").withColumn("text_hash", __import__("pyspark.sql.functions", fromlist=["x"]).expr("coalesce(xxhash64(text), 0)")).select("doc_id", "text_hash", "text")
-        found = suffix_dedup.repeated_ranges(places, 100, 20, hot).collect()
-        seen = {}
-        for raw in raws:
-            for p in range(len(raw) - 99):
-                seen[raw[p : p + 100]] = seen.get(raw[p : p + 100], 0) + 1
-        want = {(i, p) for i, raw in enumerate(raws) for p in range(len(raw) - 99) if seen[raw[p : p + 100]] > 1}
-        assert {(r.doc_id, p) for r in found for p in range(r.s, r.e + 1)} == want
-        if x is not None:
-            assert x.count() == len(texts)
+    want = windows([(t or "").encode() for t in texts], 100)
+    places = frame(spark, texts).select("doc_id", F.expr("coalesce(xxhash64(text), 0)").alias("text_hash"), "text")
+    for hot, often in ((4096, 10_000), (1, 10_000), (4096, 3)):
+        found = suffix_dedup.repeated_ranges(places, 100, 20, hot, often).collect()
+        assert {(r.doc_id, p) for r in found for p in range(r.s, r.e + 1)} == want, (hot, often)
     out = {r.doc_id: r.text for r in suffix_dedup.removed_text(frame(spark, texts), 400).select("doc_id", "text").collect()}
     assert len(out) == len(texts) and out[texts.index(None)] is None and out[texts.index("z" * 1000)] == ""
 
 
+def test_suffix_ranks():
+    data = np.frombuffer(b"abracadabra" * 3 + b"\x00\xff\x00zz", dtype=np.uint8)
+    for length in (1, 5, 8, 11, 20):
+        own = [data.tobytes()[i : i + length] for i in range(len(data) - length + 1)]
+        order = {x: k for k, x in enumerate(sorted(set(own)))}
+        got = suffix_dedup.ranks(data, length)[: len(own)]
+        assert [order[x] for x in own] == np.unique(got, return_inverse=True)[1].tolist(), length
+
+
+def test_removed_text_keeps_runs_of_few_words_and_other_columns(spark):
+    short, long = " ".join(f"s{i:06d}" for i in range(20)), " ".join(f"l{i}" for i in range(60))
+    rows = [(1, f"one {short} end"), (2, f"two {short} end"), (3, f"three {long} x"), (4, f"four {long} y"), (4, f"other {long} z"), (None, f"null {short} w"), (5, None), (6, ""), (7, "ab " * 40_000)]
+    df = spark.createDataFrame([(i, t, "kept", 0) for i, t in rows], "doc_id long, text string, ranges string, text_hash long").withColumnRenamed("text_hash", "Text_Hash")
+    got = suffix_dedup.removed_text(df, 100, 32, 51)
+    assert got.columns == df.columns
+    out = sorted(((r.doc_id, r.text, r.ranges) for r in got.collect()), key=repr)
+    assert len(out) == len(rows) and all(r[2] == "kept" for r in out)
+    text = {}
+    for i, t, _ in out:
+        text.setdefault(i, []).append(t)
+    assert text[1] == [f"one {short} end"] and text[None] == [f"null {short} w"] and text[5] == [None] and text[6] == [""]
+    assert all(long not in t for i in (3, 4) for t in text[i]) and len(text[4]) == 2 and len(text[7][0]) < 200
+    assert suffix_dedup.removed_text(df.limit(0)).count() == 0
+    assert suffix_dedup._whole_words(b"ab cd ef", 1, 7) == 1 and suffix_dedup._whole_words(b"ab cd ef", 0, 8) == 3 and suffix_dedup._whole_words(b"abcd", 1, 3) == 0
+
+
+def jaccard(texts, width, percent):
+    """Links among rows of texts."""
+    sets = []
+    for t in texts:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+
+
+def test_ngram_join_of_repeated_ids_and_common_shingles(spark, monkeypatch):
+    texts = corpus(40, 9)
+    ids = [(i * 7) % 31 if i % 5 else None for i in range(len(texts))]
+    # rows of one id have different texts; a null id links with nothing
+    rows = [k for k, i in enumerate(ids) if i is not None]
+    own = list(range(len(texts)))
+    links = [(rows[i], rows[j]) for i, j in jaccard([texts[k] for k in rows], 4, 85)]
+    if links:
+        node, least = forest(*(np.array(c) for c in zip(*links)))
+        for n, c in zip(node.tolist(), least.tolist()):
+            own[n] = c
+    members = {}
+    for k, c in enumerate(own):
+        members.setdefault(c, []).append(k)
+    want = sorted(((ids[k], min((ids[m] for m in members[own[k]]), default=None) if ids[k] is not None else None) for k in range(len(texts))), key=repr)
+    df = spark.createDataFrame([(i, t, 7) for i, t in zip(ids, texts)], "doc_id long, text string, text_hash int").repartition(3)
+    for full in (255, 2):  # with 2, nearly all counters are full
+        monkeypatch.setattr(ngram_join, "SALTS", 4)
+        got = ngram_join.jaccard_components(df, bits=18, group_rows=6, full=full).collect()
+        assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == want, full
+    kept = ngram_join.representatives(df, 4, 85, 18)
+    assert kept.columns == df.columns
+    kept = kept.collect()
+    plain = len({own[k] for k in rows if WORD.search(texts[k] or "")}) + sum(1 for k in range(len(texts)) if k not in rows or not WORD.search(texts[k] or ""))
+    assert len(kept) == plain and {r.text for r in kept if r.doc_id is None} == {t for i, t in zip(ids, texts) if i is None}
+    assert ngram_join.jaccard_components(df.limit(0), bits=18).count() == ngram_join.representatives(df.limit(0), 5, 80, 18).count() == 0
+
+
 def test_vector_join_and_top_k(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(80, 16)).astype(np.float32)
@@ -89,6 +154,51 @@ def test_vector_join_and_top_k(spark):
     assert {(g.query_id, g["rank"]): (g.vec_id, g.score) for g in full.collect()} == want
 
 
+def test_top_k_of_repeated_ids(spark):
+    r = np.random.default_rng(8)
+    rows = [(int(i), [float(v) for v in r.integers(-3, 4, size=int(n))]) for i, n in zip(r.integers(0, 25, size=90), r.choice([3, 5], size=90))]
+    rows += [rows[0], rows[0], (10, [1.0, 2.0, 3.0]), (10, [1.0, 2.0]), (10, [1.0, 2.0, 3.0]), (11, [2.0**40] * 3), (11, [-(2.0**40)] * 3)]
+    df = spark.createDataFrame([(i, q, 0) for i, q in rows], "vec_id long, q array<double>, rank int").repartition(3)
+    want = []
+    for a, (i, x) in enumerate(rows):
+        if i % 5 == 0 or i == 11:
+            scores = sorted((-int(sum(int(u) * int(v) for u, v in zip(x, y))), j) for b, (j, y) in enumerate(rows) if b != a)[:4]
+            want += [(i, k + 1, j, -s if abs(s) < 2**63 else (2**63 - 1 if s < 0 else -(2**63))) for k, (s, j) in enumerate(scores)]
+    got = maxscore.top_k(df.where("vec_id % 5 = 0 or vec_id = 11"), df, 4, shard_rows=2)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and sorted(map(tuple, got.collect())) == sorted(want)
+    assert maxscore.top_k(df.limit(0), df, 4).count() == maxscore.top_k(df, df.limit(0), 4).count() == 0
+
+
+def test_max_score_leaves_terms_unprobed():
+    r = np.random.default_rng(4)
+    docs = np.floor(r.normal(size=(4000, 32)) ** 3 * 100)
+    shard, stats = maxscore.Shard(np.arange(4000), docs, np.full(4000, 32)), {}
+    at, s = shard.topk(docs[7], 5, 500, stats)
+    exact = docs @ docs[7]
+    assert at.tolist() == np.lexsort((np.arange(4000), -exact))[:5].tolist() and s.tolist() == exact[at].tolist()
+    assert stats["probed"] < 0.5 * docs.size
+
+
+def test_vector_join_of_repeated_ids(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(60, 12))
+    x[30:50] = x[:20] + 0.02 * r.normal(size=(20, 12))
+    x[50:55] = x[0]
+    rows = [(int(i), [float(c) for c in v], 1) for i, v in zip(r.integers(0, 40, size=60), x)] + [(3, [1.0, 0.0], 1), (3, [1.0, 0.01], 1), (5, [2.0], 1), (6, [3.0], 1), (5, None, 1), (None, [1.0, 0.0], 1)]
+    ok = [(k, np.array(e)) for k, (i, e, _) in enumerate(rows) if e and i is not None]
+    links = [(a, b) for a, u in ok for b, v in ok if a != b and len(u) == len(v) and u @ v / np.sqrt((u @ u) * (v @ v)) >= 0.98]
+    own = list(range(len(rows)))
+    for n, c in zip(*(z.tolist() for z in forest(*(np.array(z) for z in zip(*links))))):
+        own[n] = c
+    least = {c: min((rows[k][0] for k in range(len(rows)) if own[k] == c and rows[k][0] is not None), default=None) for c in own}
+    want = sorted(((i, sum(a == k for a, _ in links), least[own[k]], i is None or least[own[k]] == i) for k, (i, _, _) in enumerate(rows)), key=repr)
+    df = spark.createDataFrame([(*row, 1) for row in rows], "vec_id long, embedding array<double>, label int, node int").repartition(3)
+    for cells in (4096, 4):
+        got = vector_join.near_duplicates(df, cell_rows=cells).collect()
+        assert sorted(map(tuple, got), key=repr) == want, cells
+    assert vector_join.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     docs = frame(spark, corpus())
     got = mixing.plan_mix(docs).collect()
@@ -101,6 +211,21 @@ def test_mixing(spark):
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
     assert sorted(map(tuple, mixing.plan_mix(docs).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert mixing.mix(docs).columns == docs.columns
+    # null and repeated ids, repeated rows, and columns of the names that mix() uses
+    rows = [(None if i % 4 == 0 else i % 5, t, None if i % 7 == 0 else f"s{i % 3}", i, -i) for i, t in enumerate([*corpus(), *corpus()[:9]] * 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, times int, row_key int").repartition(3)
+    plan, mixed = mixing.plan_mix(odd, cut_last=False).collect(), mixing.mix(odd)
+    assert len(plan) == len(rows) and mixed.columns == odd.columns
+    want = {}
+    for g in plan:
+        if g.taken:
+            key = (g.doc_id, g.source, g.text_hash)
+            want[key] = want.get(key, 0) + g.taken // g.size
+    mixed = mixed.withColumn("h", F.xxhash64("text")).collect()
+    got = {}
+    for g in mixed:
+        got[g.doc_id, g.source, g.h] = got.get((g.doc_id, g.source, g.h), 0) + 1
+    assert got == want and any(k[0] is None for k in want)
     assert mixing.plan_mix(docs.limit(0)).count() == 0
 
 
@@ -119,6 +244,40 @@ def test_token_files(spark):
     assert sum(f["rows"] for f in token_orc.stripe_metadata(path)) == len(texts)
 
 
+def test_token_files_of_repeated_ids_stripes_and_pruning(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(None if i % 50 == 7 else i // 3, " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=r.randint(0, 300)))) for i in range(6000)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, part string, block int")
+    path = new_path(spark, "tokens")
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        token_orc.write_tokens(df, path, stripe_bytes=50_000)
+        assert max(f["stripes"] for f in token_orc.stripe_metadata(path)) >= 2
+        tokens = token_orc.read_tokens(spark, path)
+        assert tokens.rdd.getNumPartitions() > len(token_orc.stripe_metadata(path))  # stripes of a file are read apart
+        got = token_orc.digest(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+    plain = token_orc.Encoder(token_orc.VOCABULARY).tokenizer
+    want = sorted(((i, zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 2], dtype="<u4").tobytes())) for i, t in rows), key=repr)
+    assert sorted(((g.doc_id, g.ids_crc32) for g in got), key=repr) == want
+    at, last = 0, -1
+    for g in sorted(got, key=lambda g: g.start):
+        assert g.start == at and (g.doc_id is None or g.doc_id >= last)
+        at, last = at + g.n_tokens, -1 if g.doc_id is None else g.doc_id
+    one = token_orc.read_tokens(spark, path, [700])
+    one.collect()
+    plan = one._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    assert {x.doc_id for x in one.collect()} == {700} and plan.metrics().get("numOutputRows").get().value() <= 2 * token_orc.ROW_GROUP  # of 6,000
+    token_orc.write_tokens(df.limit(0), f"{path}-none")
+    assert token_orc.read_tokens(spark, f"{path}-none").count() == 0
+
+
 def test_sentence_pieces(spark):
     p = sentence_pieces._pieces(sentence_pieces.MODEL)
     texts = [*corpus()[:30], "a  b", "x\n\ny", "▁ é 𐍈", "日本"]
@@ -208,6 +367,11 @@ def test_toxicity_and_quality(spark):
     assert kept.columns == docs.columns
     good = {i for i, q, _ in labels if q} & {i for i, t in enumerate(texts) if t and len(t) > 60}
     assert len(good - {g.doc_id for g in kept.collect()}) <= 0.05 * len(good)
+    clash = docs.withColumns({"p_selected": F.lit("a"), "expected_grade": F.lit(1)})
+    assert quality_ordinal.select_good(clash, known).columns == clash.columns
+    assert {g.doc_id for g in quality_ordinal.select_good(clash, known).collect()} == {g.doc_id for g in kept.collect()}
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 7))  # null and repeated ids
+    assert toxicity.toxicity(odd, known).count() == quality_ordinal.graded(odd, known).count() == len(texts)
     assert toxicity.toxicity(docs.limit(0), known).count() == quality_ordinal.graded(docs.limit(0), known).count() == 0
 
 

@@ -31,6 +31,8 @@ def tables(spark, tmp_path_factory):
     base = [some(r.randint(3, 220)) for _ in range(80)]
     passage = some(120)
     texts = [*base, *(f"{some(150)} {passage} {some(r.randint(90, 150))}" for _ in range(4))]
+    half = some(45)  # repeats, but has too few words
+    texts += [f"{some(150)} {half} {some(90)}" for _ in range(3)]
     for t in base[:25]:
         w = t.split(" ")
         w[r.randrange(len(w))] = "changed"
@@ -63,8 +65,8 @@ def components(texts, width, percent):
     return {i: (len(s), own[i]) for i, s in sets.items()}
 
 
-def without_repeats(texts, length):
-    """(kept bytes, spans) by doc_id."""
+def without_repeats(texts, length, least_words=0):
+    """(kept bytes, spans) by doc_id; runs of fewer whole words stay."""
     raws = {i: (t or "").encode() for i, t in texts.items()}
     seen = {}
     for raw in raws.values():
@@ -76,6 +78,12 @@ def without_repeats(texts, length):
         for p in range(len(raw) - length + 1):
             if seen[raw[p : p + length]] > 1:
                 gone[p : p + length] = True
+        if least_words:
+            words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], gone])))
+            for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if sum(s <= a and b <= e for a, b in words) < least_words:
+                    gone[s:e] = False
         out[i] = bytes(b for b, g in zip(raw, gone) if not g), int((gone[1:] & ~gone[:-1]).sum() + gone[0])
     return out
 
@@ -119,8 +127,9 @@ def test_pipeline_matches_plain_stages(spark, tables):
     kept = {i: t for i, t in texts.items() if i in good}
     kept = {i: kept[i] for i, (_, c) in components(kept, 5, 80).items() if c == i}
     assert len(kept) < len(good)
-    cut = {i: b.decode("utf-8", "ignore") for i, (b, _) in without_repeats(kept, 400).items()}
+    cut = {i: b.decode("utf-8", "ignore") for i, (b, _) in without_repeats(kept, corpus_pipeline.PASSAGE_BYTES, 51).items()}
     assert any(cut[i] != (t or "") for i, t in kept.items())
+    assert any(len(WORD.findall(cut[i])) < len(WORD.findall(kept[i] or "")) for i in kept) and any(n for i, (_, n) in without_repeats(kept, corpus_pipeline.PASSAGE_BYTES).items() if cut[i] == (kept[i] or ""))
     taken = copies(cut, sources, labels)
     pieces = sentence_pieces._pieces(sentence_pieces.MODEL)
     want = []
