@@ -5,34 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from planwise.llm import mixing, ngram_join, quality_ordinal, sentence_pieces, suffix_dedup
-from planwise.llm.storage import materialize
+from planwise.llm.storage import drop, materialize
+
+
+#: Repeated strings of so many bytes are looked for, with trigger strings of ANCHOR bytes. In prose a passage of
+#: PASSAGE_WORDS words is longer; what repeats is taken out where it has so many whole words.
+PASSAGE_BYTES, ANCHOR, PASSAGE_WORDS = 200, 32, 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier rejects go."""
+    """Documents that the ordinal classifier rejects go.
+
+    It rejects bad quality, not toxicity. Null and empty texts are decided by the model's thresholds alone; a null doc_id is
+    no label's; repeated rows share a decision; columns of other names are carried. An empty table gives an empty one.
+    """
     return quality_ordinal.select_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document of the least doc_id stays, once."""
-    groups = ngram_join.jaccard_components(docs, width=5, percent=80)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    alone = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(alone)
+    """Of each group of near duplicates (five words, similarity 0.8) the row of the least doc_id, then text hash, stays, once.
+
+    Documents without words and those with a null doc_id link with nothing and stay; different texts under one doc_id
+    are different documents; columns of other names are carried.
+    """
+    return ngram_join.representatives(docs, width=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of 400 bytes that start at two places are taken out of the texts; no document goes."""
-    return suffix_dedup.removed_text(docs)
+    """Passages of over 50 words that start at two places are taken out of the texts, wherever they are; no document goes.
+
+    A null text stays null; a text that is nothing but such passages becomes empty; rows of equal doc_id and text repeat
+    each other; columns of other names are carried.
+    """
+    return suffix_dedup.removed_text(docs, PASSAGE_BYTES, ANCHOR, PASSAGE_WORDS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without words go. A null source is a source, a null doc_id a document."""
     return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, as a digest."""
+    """Ids of each text, as a digest; null and empty texts have none."""
     return sentence_pieces.digest(docs)
 
 
@@ -45,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
