@@ -11,8 +11,8 @@ FRACTIONS = (0.05, 0.1, 0.2, 0.4, 0.8, 1.0)
 
 
 def sample(df: DataFrame, key: str, n: int = 1000, seed: int = 0) -> DataFrame:
-    """n rows (all, if fewer) by the order of a seeded hash of key; reruns agree."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows (all, if fewer) by the order of md5 of seed and key; reruns and other engines agree. Tasks keep n rows each before they meet."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def fraction_sample(df: DataFrame, key: str, more_than: int = 50, seed: int = 0) -> DataFrame:
@@ -28,8 +28,8 @@ def _field(name: str):
 
 
 def bitmaps(rows: DataFrame, key: str, tests: dict[str, Column], n: int = 1000) -> DataFrame:
-    """(name, bits) of each test over sample rows in key order, padded with zeros to n places; one pass for all tests."""
-    x = rows.select(F.col(key).alias("_k"), *[F.coalesce(t, F.lit(False)).cast("int").alias(f"t{i}") for i, t in enumerate(tests.values())])
+    """(name, bits) of each test over the first n rows by key, in that order, padded with zeros to n places; one pass for all tests."""
+    x = rows.orderBy(key).limit(n).select(F.col(key).alias("_k"), *[F.coalesce(t, F.lit(False)).cast("int").alias(f"t{i}") for i, t in enumerate(tests.values())])
     packed = x.agg(F.array_sort(F.collect_list(F.struct(*x.columns))).alias("all"))
     one = [F.struct(F.lit(name).alias("name"), F.concat(F.transform("all", _field(f"t{i}")), F.array_repeat(F.lit(0), F.greatest(F.lit(0), F.lit(n) - F.size("all")))).alias("bits")) for i, name in enumerate(tests)]
     return packed.select(F.explode(F.array(*one)).alias("x")).select("x.*")

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planwise.operators import stats
+from planwise.operators.lineage import cut
+
+
+def parse_table(query) -> tuple:
+    """(database, table) Columns of a query's text; no database where the table has none, nulls where there is no such text."""
+    name = F.nullif(F.regexp_extract(F.lower(query), r"\bfrom\s+([\w.]+)", 1), F.lit(""))
+    parts = F.split(name, "\\.")
+    return F.when(F.size(parts) > 1, parts[F.size(parts) - 2]), F.element_at(parts, -1)
+
+
+def column_names(ranges: DataFrame) -> DataFrame:
+    """(query_id, columns) that a query has a bound on, on either side, in order of their names."""
+    return ranges.groupBy("query_id").agg(F.sort_array(F.collect_set("column")).alias("columns"))
+
+
+def column_range(ranges: DataFrame, summary: DataFrame) -> DataFrame:
+    """(query_id, column, lo, hi) with missing sides filled from summary(column, min_v, max_v)."""
+    x = ranges.join(summary.select("column", "min_v", "max_v"), "column")
+    return x.select("query_id", "column", F.coalesce("lo", "min_v").alias("lo"), F.coalesce("hi", "max_v").alias("hi"))
 
 
 def parse_ranges(queries: DataFrame) -> DataFrame:
@@ -20,7 +39,7 @@ def parse_ranges(queries: DataFrame) -> DataFrame:
 
 def selectivities(ranges: DataFrame, df: DataFrame, columns: list[str], buckets: int = 10) -> DataFrame:
     """(query_id, column, sel, total) of each range, from histograms of df's columns."""
-    counts = stats.value_counts(df, columns)
+    counts = cut(stats.value_counts(df, columns))
     known = stats.bucket_arrays(stats.histogram(counts, buckets)).join(counts.groupBy("column").agg(F.count("*").alias("ndv")), "column")
     x = ranges.join(known, "column").withColumn("total", F.element_at("buckets", -1).row_count)
     first, last = F.element_at("buckets", 1).lower, F.element_at("buckets", -1).upper
@@ -49,13 +68,17 @@ def known_selectivities(ranges: DataFrame, summary: DataFrame, hist: DataFrame,
     return x.select("query_id", "column", F.greatest(F.lit(0.0), F.least(F.lit(1.0), sel)).alias("sel"), "total")
 
 
-def combine(sel: DataFrame) -> DataFrame:
-    """(query_id, avi, ebo, min_sel) estimated rows: independence, exponential back-off over the four smallest, and the minimum."""
-    s = F.array_sort(F.collect_list("sel"))
+def shares(sel: DataFrame) -> DataFrame:
+    """(query_id, total, avi, ebo, min_sel): selectivities by independence, exponential back-off over the four smallest, and the minimum."""
     product = F.aggregate("s", F.lit(1.0), lambda a, b: a * b)
     back_off = F.aggregate(F.transform(F.slice("s", 1, 4), lambda x, i: F.pow(x, F.pow(F.lit(0.5), i))), F.lit(1.0), lambda a, b: a * b)
-    x = sel.groupBy("query_id").agg(s.alias("s"), F.max("total").alias("total"))
-    return x.select("query_id", *[F.round(e * F.col("total"), 4).alias(n) for n, e in (("avi", product), ("ebo", back_off), ("min_sel", F.element_at("s", 1)))])
+    x = sel.groupBy("query_id").agg(F.array_sort(F.collect_list("sel")).alias("s"), F.max("total").alias("total"))
+    return x.select("query_id", "total", product.alias("avi"), back_off.alias("ebo"), F.element_at("s", 1).alias("min_sel"))
+
+
+def combine(sel: DataFrame) -> DataFrame:
+    """(query_id, avi, ebo, min_sel) estimated rows of shares()."""
+    return shares(sel).select("query_id", *[F.round(F.col(n) * F.col("total"), 4).alias(n) for n in ("avi", "ebo", "min_sel")])
 
 
 def p_error(act, est):
@@ -65,7 +88,15 @@ def p_error(act, est):
 
 
 def percentiles(df: DataFrame, group: list[str], value: str, at: tuple[float, ...] = (0.5, 0.8, 0.9, 0.99)) -> DataFrame:
-    """Values at 0-based position floor(n q) in ascending order, per group."""
-    n = F.count("*").over(Window.partitionBy(*group))
-    x = df.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy(value)) - 1).withColumn("_n", n)
-    return x.groupBy(*group).agg(*[F.max(F.when(F.col("_i") == F.floor(F.col("_n") * F.lit(q)), F.col(value))).alias(f"p{int(q * 100)}") for q in at])
+    """Values at 0-based position floor(n q) in ascending order, per group.
+
+    Counts of distinct values are summed by range partitions first, so no task has to order a group by itself.
+    """
+    counts = cut(df.groupBy(*group, value).agg(F.count("*").alias("n")))
+    x = stats.running_total(counts, group, value, "n", "upto")
+    total = counts.groupBy(*group).agg(F.sum("n").alias("total"))
+    key = F.struct(*[F.col(c) for c in group]).alias("_g")
+    x = x.select(key, value, "n", "upto").join(total.select(key, "total"), "_g")
+    place = lambda q: F.floor(F.col("total") * F.lit(q))
+    found = [F.max(F.when((F.col("upto") > place(q)) & (F.col("upto") - F.col("n") <= place(q)), F.col(value))).alias(f"p{int(q * 100)}") for q in at]
+    return x.groupBy("_g").agg(*found).select(*[F.col("_g")[c].alias(c) for c in group], *[f"p{int(q * 100)}" for q in at])

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planwise.operators.lineage import cut
+
+
+#: Cells of a range in running_total(), and cells that are summed together.
+FAN = 512
+
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, v, n): every column's values and their counts, in one pass with map-side combining."""
@@ -14,21 +20,46 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return x.where("x.v is not null").groupBy("x.column", "x.v").agg(F.count("*").alias("n"))
 
 
+def running_total(df: DataFrame, group: list[str], order: str, amount: str, name: str) -> DataFrame:
+    """df with `name`: the sum of `amount` up to and with the row, by the number `order`, which is unique within a group.
+
+    A group's range is cut into FAN x FAN cells of equal width. Rows are summed within their cell, cells within FAN
+    neighbours, and these within the group, so a task orders the rows of a cell or FAN sums, not a whole group.
+    """
+    df = cut(df)  # it is read four times
+    key = F.struct(*[F.col(c) for c in group])  # nulls are a group, too
+    ends = df.groupBy(key.alias("_g")).agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
+    x = df.withColumn("_g", key).join(ends, "_g")
+    share = F.coalesce((F.col(order).cast("double") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
+    x = x.withColumn("_cell", F.least(F.floor(share * (FAN * FAN)), F.lit(FAN * FAN - 1))).withColumn("_coarse", F.floor(F.col("_cell") / FAN))
+    up_to = lambda *of: Window.partitionBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    cells = x.groupBy("_g", "_coarse", "_cell").agg(F.sum(amount).alias("_sum"))
+    coarse = x.groupBy("_g", "_coarse").agg(F.sum(amount).alias("_sum")).select("_g", "_coarse", F.coalesce(F.sum("_sum").over(up_to("_g").orderBy("_coarse")), F.lit(0)).alias("_above"))
+    cells = cells.select("_g", "_coarse", "_cell", F.coalesce(F.sum("_sum").over(up_to("_g", "_coarse").orderBy("_cell")), F.lit(0)).alias("_before"))
+    cells = cells.join(coarse, ["_g", "_coarse"]).select("_g", "_cell", (F.col("_before") + F.col("_above")).alias("_before"))
+    own = F.sum(amount).over(Window.partitionBy("_g", "_cell").orderBy(order))
+    return x.withColumn(name, own).join(cells, ["_g", "_cell"]).withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)
+
+
 def histogram(counts: DataFrame, buckets: int = 10) -> DataFrame:
     """(column, bucket, row_count, lower, upper, repeats) from value_counts(); row_count is cumulative.
 
     Values belong to the first bucket while fewer than total / buckets rows come before; each further
-    value is a bucket of its own. Windows run over distinct values, per column.
+    value is a bucket of its own.
     """
-    w = Window.partitionBy("column").orderBy("v")
-    x = counts.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("column")))
-    x = x.withColumn("own", ((F.col("upto") - F.col("n")) * buckets >= F.col("total")).cast("long"))
-    x = x.withColumn("bucket", F.sum("own").over(w))
+    counts = cut(counts)
+    x = running_total(counts, ["column"], "v", "n", "upto")
+    total = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    x = x.join(total, "column").withColumn("own", ((F.col("upto") - F.col("n")) * buckets >= F.col("total")).cast("long"))
+    x = running_total(x, ["column"], "v", "own", "bucket")
     return x.groupBy("column", "bucket").agg(F.max("upto").alias("row_count"), F.min("v").alias("lower"), F.max("v").alias("upper"), F.max_by("n", "v").alias("repeats"))
 
 
 def top_n(counts: DataFrame, n: int = 10) -> DataFrame:
-    """(column, v, n): each column's most frequent values, ties to the smaller."""
+    """(column, rank, v, n): each column's most frequent values, ties to the smaller.
+
+    Each task keeps its first n rows of a column before they meet, as any ranking below a limit does.
+    """
     w = Window.partitionBy("column").orderBy(F.desc("n"), "v")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("column", "rank", "v", "n")
 
@@ -49,6 +80,18 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
+def physical_correlation(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(column, r): how closely a column of Parquet files follows the rows' order in them; files in order of their names."""
+    x = spark.read.parquet(path).select(*[F.col(c).cast("double") for c in columns], F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = x.groupBy("_file").agg(F.max("_row").alias("_last"))  # a row for each file
+    files = files.select("_file", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0)).alias("_before"))
+    x = x.join(files, "_file").withColumn("_place", (F.col("_row") + F.col("_before")).cast("double"))
+    one = x.agg(*[F.corr(c, "_place").alias(c) for c in columns])
+    rows = [F.struct(F.lit(c).alias("column"), F.round(F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)), 6).alias("r")) for c in columns]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def less_rows(v, buckets):
     """Estimated rows below v, from a column's buckets (array of struct row_count, lower, upper, repeats, prev in ascending order)."""
     b = F.get(F.filter(buckets, lambda x: x.upper >= v), F.lit(0))

@@ -37,6 +37,22 @@ def many_hot(values: Column, width: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.coalesce(F.array_contains(values, i).cast("int"), F.lit(0)))
 
 
+def widths(leveled: DataFrame) -> DataFrame:
+    """(batch_id, n_levels, width): levels() of a batch are padded to its widest, so that it becomes dense arrays."""
+    per = leveled.groupBy("batch_id", "depth").agg(F.max("slot").alias("n"))
+    return per.groupBy("batch_id").agg(F.count("*").alias("n_levels"), F.max("n").alias("width"))
+
+
+def label(v: Column, low: Column, high: Column) -> Column:
+    """A label's logarithm scaled to the bounds of logarithms."""
+    return normalized(F.log(v), low, high)
+
+
+def unlabel(y: Column, low: Column, high: Column) -> Column:
+    """The value of a label()."""
+    return F.exp(y * (high - low) + low)
+
+
 def padded(rows: Column, n: Column, width: int) -> Column:
     """An array of vectors with zero vectors up to n of them."""
     return F.concat(rows, F.array_repeat(F.array_repeat(F.lit(0.0), width), F.greatest(F.lit(0), n - F.size(rows)).cast("int")))

@@ -5,25 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwise import plan_queries
-from planwise.operators import estimate, stats
-from planwise.plans import text_plans
-
-COLUMNS = ["l_linenumber", "l_partkey", "l_suppkey"]
-WORKLOAD = [
-    (1, "select * from tpch.lineitem where l_partkey>20 and l_partkey<150 and l_suppkey>2 and l_suppkey<40"),
-    (2, "select * from tpch.lineitem where l_linenumber>1 and l_linenumber<5"),
-    (3, "select * from tpch.lineitem where l_linenumber>0 and l_linenumber<4 and l_partkey>10 and l_partkey<90 and l_suppkey>0 and l_suppkey<9"),
-]
-PLAN = [
-    "id\testRows\testCost\tactRows\ttask\taccess object\texecution info\toperator info\tmemory\tdisk",
-    "HashJoin_1\t10\t0\t8\troot\t\ttime:12.5ms, loops:2\tinner join\t0\t0",
-    "├─Sort_2(Build)\t4\t0\t4\troot\t\ttime:3ms\trow_size: 8\t0\t0",
-    "│ └─TableReader_3\t4\t0\t4\troot\t\ttime:2ms\trow_size: 8\t0\t0",
-    "│   └─TableFullScan_4\t4\t0\t4\tcop[tikv]\ttable:a\ttime:900µs\trow_size: 8\t0\t0",
-    "└─Selection_5(Probe)\t6\t0\t6\troot\t\ttime:1s\trow_size: 16\t0\t0",
-    "  └─TableRangeScan_6\t9\t0\t9\tcop[tikv]\ttable:b\ttime:500ns\trow_size: 16\t0\t0",
-]
+from planwise import plan_queries, workload_sql
+from planwise.operators import estimate, learned, lineage, predicates, spn, stats, workloads
+from planwise.plans import capture, encoding
+from planwise.workload_sql import DOMAINS, SHAPED
+
+COLUMNS = list(DOMAINS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,30 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workload(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WORKLOAD, "query_id int, query string")
+    """(query_id, query): generated conjunctions of open ranges on lineitem."""
+    return workloads.random_ranges(spark, workload_sql.QUERIES, DOMAINS, "tpch.lineitem")
+
+
+def ranges(spark):
+    return estimate.parse_ranges(workload(spark))
 
 
 def true_counts(spark, d):
-    """All queries' counts in one pass over the columns they name."""
-    li = table(spark, d, "lineitem")
-    ranges = estimate.parse_ranges(workload(spark)).collect()  # one row per range of a stated workload
-    conds: dict[int, list] = {}
-    for r in ranges:
-        conds.setdefault(r.query_id, []).extend(([F.col(r.column) > r.lo] if r.lo is not None else []) + ([F.col(r.column) < r.hi] if r.hi is not None else []))
-    one = li.agg(*[F.count_if(_all(c)).alias(str(q)) for q, c in sorted(conds.items())])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(q).alias("query_id"), F.col(str(q)).alias("act_rows")) for q in sorted(conds)])).alias("x")).select("x.*")
+    return workloads.range_counts(table(spark, d, "lineitem"), ranges(spark))
 
 
-def _all(conditions):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def shares(spark, d):
+    return estimate.shares(estimate.selectivities(ranges(spark), table(spark, d, "lineitem"), COLUMNS))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True counts of a range workload against the estimates of three combiners."""
-    sel = estimate.selectivities(estimate.parse_ranges(workload(spark)), table(spark, sf_dir, "lineitem"), COLUMNS)
+    sel = estimate.selectivities(ranges(spark), table(spark, sf_dir, "lineitem"), COLUMNS)
     return true_counts(spark, sf_dir).join(estimate.combine(sel), "query_id")
 
 
@@ -64,8 +46,40 @@ def p_errors(spark, d):
     return estimate.percentiles(x.withColumn("e", F.round("e", 4)), ["method"], "e")
 
 
-def plan_nodes(spark, d=None):
-    return text_plans.nodes(spark.createDataFrame([(1, PLAN)], "plan_id int, plan array<string>"))
+def query_features(spark, d):
+    return learned.features(ranges(spark), stats.column_summary(table(spark, d, "lineitem"), COLUMNS), shares(spark, d), COLUMNS)
+
+
+def named_features(spark, d):
+    names = [f"{s}_{c}" for c in COLUMNS for s in ("lo", "hi")] + ["avi", "ebo", "min_sel"]
+    return query_features(spark, d).select("query_id", *[F.round(F.get("features", F.lit(i)), 6).alias(n) for i, n in enumerate(names)])
+
+
+def cardinality_evaluation(spark, d):
+    """(part, method, p50, p80, p90, p99) of p-errors on training and test queries: histograms, networks of sums and products, boosted trees, a neural network."""
+    li = table(spark, d, "lineitem")
+    sel = lineage.cut(estimate.selectivities(ranges(spark), li, COLUMNS))
+    features = learned.features(ranges(spark), stats.column_summary(li, COLUMNS), estimate.shares(sel), COLUMNS)
+    x = learned.labelled(features, true_counts(spark, d)).withColumn("part", F.when(F.col("query_id") % 5 == 0, "test").otherwise("train"))
+    x = x.join(estimate.combine(sel), "query_id")
+    key = li.withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
+    x = x.join(spn.estimates(spn.build(key, "k", COLUMNS, 1000), ranges(spark), li.count()), "query_id")
+    x = lineage.cut(x)
+    train = x.where("part = 'train'")
+    x = learned.mlp_predicted(learned.mlp(train, rounds=30), learned.predicted(learned.gbt(train, 10), x, "gbt"), "mlp")
+    return learned.evaluation(x, ["avi", "ebo", "min_sel", "spn", "gbt", "mlp"], ["part"])
+
+
+def shaped(spark):
+    return workloads.shaped_queries(spark, SHAPED, "tpch.lineitem", DOMAINS, "l_suppkey", "l_linenumber")
+
+
+def analyzed(spark, d):
+    """(name, root_rows) of queries that were run for their plans."""
+    names = ("range_scan_inclusive", "hash_agg", "index_only_scan")
+    found = capture.analyzed(spark, {n: QUERIES[n](spark, d) for n in names}, 60.0)
+    x = spark.createDataFrame(found, "name string, plan array<string>")
+    return x.select("name", F.split(F.get("plan", F.lit(1)), "\t")[3].cast("long").alias("root_rows"))
 
 
 def _lines(query):
@@ -80,30 +94,45 @@ QUERIES = {
     "index_lookup": lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem").where("l_partkey between 5 and 9").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi").select("o_orderkey", "o_custkey"),
     "hash_agg": _lines(lambda li: li.groupBy(F.year("l_shipdate").alias("yr")).agg(F.count("*").alias("n"))),
     "sort_projection": _lines(lambda li: li.where("l_partkey < 30").orderBy("l_suppkey").select("l_partkey", "l_quantity")),
-    "hash_join": lambda s, d: table(s, d, "orders").hint("shuffle_hash").join(table(s, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").where("c_acctbal > 9000").select("o_orderkey", "o_custkey", "c_mktsegment"),
+    "hash_join": lambda s, d: table(s, d, "orders").join(table(s, d, "customer").withColumnRenamed("c_custkey", "o_custkey").hint("shuffle_hash"), "o_custkey").where("c_acctbal > 9000").select("o_orderkey", "o_custkey", "c_mktsegment"),
     "merge_join": lambda s, d: table(s, d, "orders").hint("merge").join(table(s, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").where("c_nationkey = 3").select("o_orderkey", "c_name"),
     "nested_loop_theta": lambda s, d: table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") < F.col("r_regionkey")).select("n_nationkey", "r_regionkey"),
     "histogram_build": _lines(lambda li: stats.histogram(stats.value_counts(li, COLUMNS))),
     "top_values": _lines(lambda li: stats.top_n(stats.value_counts(li, COLUMNS), 5)),
     "column_summary": _lines(lambda li: stats.column_summary(li, COLUMNS)),
     "pearson_matrix": _lines(lambda li: stats.pearson(li, ["l_quantity", "l_extendedprice", "l_partkey"])),
-    "workload_parse": lambda s, d: estimate.parse_ranges(workload(s)),
+    "index_join": lambda s, d: table(s, d, "customer").join(F.broadcast(table(s, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).where("c_acctbal > 5000").select("c_custkey", "n_name"),  # 25 nations
+    "workload_generate": lambda s, d: workload(s),
+    "workload_parse": lambda s, d: ranges(s),
+    "workload_shapes": lambda s, d: shaped(s),
+    "hint_strip": lambda s, d: shaped(s).select("query_id", workloads.strip_hints(F.col("query")).alias("query")),
     "estimates": flagship,
     "p_error_percentiles": p_errors,
-    "plan_parse": lambda s, d: plan_nodes(s).select("plan_id", "pos", "depth", "parent", "operator", F.round(text_plans.milliseconds(text_plans.field_map(F.col("execution"))["time"]), 6).alias("ms")),
-    "plan_features": lambda s, d: text_plans.features(plan_nodes(s)),
-    "cost_weights": lambda s, d: text_plans.cost_weights(plan_nodes(s)),
-    "like_predicate": lambda s, d: table(s, d, "part").where(F.coalesce("p_name", F.lit("")).like("%re%")).select("p_partkey"),
-    "in_list": lambda s, d: table(s, d, "part").where(F.col("p_size").isin(3, 7, 11)).select("p_partkey", "p_size"),
-    "null_compat": lambda s, d: table(s, d, "part").withColumn("x", F.when(F.col("p_size") % 5 != 0, F.col("p_size"))).where(F.coalesce(F.col("x") > 30, F.lit(True))).select("p_partkey", "x"),
-    "label_norm": lambda s, d: table(s, d, "orders").crossJoin(table(s, d, "orders").agg(F.min(F.log("o_totalprice")).alias("lo"), F.max(F.log("o_totalprice")).alias("hi"))).select("o_orderkey", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.log("o_totalprice") - F.col("lo")) / (F.col("hi") - F.col("lo")))), 6).alias("y")),
-    "one_hot": lambda s, d: table(s, d, "nation").select("n_nationkey", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (i == F.col("n_regionkey")).cast("int")), "").alias("bits")),
+    "query_features": named_features,
+    "cardinality_evaluation": cardinality_evaluation,
+    "physical_correlation": lambda s, d: stats.physical_correlation(s, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "o_totalprice"]),
+    "explain_analyze": analyzed,
+    "like_predicate": lambda s, d: table(s, d, "part").where(predicates.selected(predicates.parse("(p_name ~~ '%re%'::text)"), {"p_name": "string"})).select("p_partkey"),
+    "in_list": lambda s, d: table(s, d, "part").where(predicates.selected(predicates.parse("(p_size = ANY ('{3,7,11}'::integer[]))"), {"p_size": "number"})).select("p_partkey", "p_size"),
+    "null_compat": lambda s, d: table(s, d, "part").withColumn("x", F.when(F.col("p_size") % 5 != 0, F.col("p_size"))).where(predicates.selected(predicates.parse("(x > 30)"), {"x": "number"})).select("p_partkey", "x"),
+    "label_norm": lambda s, d: table(s, d, "orders").join(F.broadcast(table(s, d, "orders").agg(F.min(F.log("o_totalprice")).alias("lo"), F.max(F.log("o_totalprice")).alias("hi")))).select("o_orderkey", F.round(encoding.label(F.col("o_totalprice"), F.col("lo"), F.col("hi")), 6).alias("y"), F.round(encoding.unlabel(encoding.label(F.col("o_totalprice"), F.col("lo"), F.col("hi")), F.col("lo"), F.col("hi")), 2).alias("back")),  # bounds are one row
+    "one_hot": lambda s, d: table(s, d, "nation").select("n_nationkey", F.array_join(encoding.one_hot(F.col("n_regionkey") + 1, 5), "").alias("bits")),
 }
 
-_H = """SELECT 'l_linenumber' AS "column", l_linenumber::BIGINT AS v FROM lineitem UNION ALL SELECT 'l_partkey', l_partkey FROM lineitem UNION ALL SELECT 'l_suppkey', l_suppkey FROM lineitem"""
+_H = workload_sql.VALUES
 ORACLES = {
     "range_scan": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_partkey > 20 AND l_partkey < 60 AND l_suppkey > 2 AND l_suppkey < 30",
-    "range_count": "SELECT 1 AS query_id, count(*) AS act_rows FROM lineitem WHERE l_partkey > 20 AND l_partkey < 150 AND l_suppkey > 2 AND l_suppkey < 40 UNION ALL SELECT 2, count(*) FROM lineitem WHERE l_linenumber > 1 AND l_linenumber < 5 UNION ALL SELECT 3, count(*) FROM lineitem WHERE l_linenumber > 0 AND l_linenumber < 4 AND l_partkey > 10 AND l_partkey < 90 AND l_suppkey > 0 AND l_suppkey < 9",
+    "range_count": workload_sql.COUNTS,
+    "index_join": "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000",
+    "workload_generate": workload_sql.TEXTS,
+    "workload_parse": workload_sql.RANGES,
+    "workload_shapes": workload_sql.shaped("l_suppkey", "l_linenumber"),
+    "hint_strip": rf"SELECT query_id, regexp_replace(regexp_replace(query, '/\*.*?\*/', ''), 'USE INDEX.*?\)', '') AS query FROM ({workload_sql.shaped('l_suppkey', 'l_linenumber')})",
+    "estimates": workload_sql.ESTIMATES,
+    "p_error_percentiles": workload_sql.PERCENTILES,
+    "query_features": workload_sql.FEATURES,
+    "physical_correlation": "WITH o AS (SELECT *, row_number() OVER () AS i FROM orders) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(corr({c}::DOUBLE, i::DOUBLE), 6) AS r FROM o" for c in ("o_orderkey", "o_custkey", "o_totalprice")),
+    "explain_analyze": "SELECT 'range_scan_inclusive' AS name, count(*) AS root_rows FROM lineitem WHERE l_partkey BETWEEN 20 AND 25 UNION ALL SELECT 'hash_agg', count(DISTINCT year(l_shipdate)) FROM lineitem UNION ALL SELECT 'index_only_scan', count(*) FROM lineitem WHERE l_suppkey BETWEEN 3 AND 4",
     "range_scan_inclusive": "SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_partkey BETWEEN 20 AND 25",
     "index_only_scan": "SELECT l_suppkey FROM lineitem WHERE l_suppkey BETWEEN 3 AND 4",
     "index_lookup": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey BETWEEN 5 AND 9)",
@@ -112,16 +141,14 @@ ORACLES = {
     "hash_join": "SELECT o_orderkey, o_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000",
     "merge_join": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3",
     "nested_loop_theta": "SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey < r_regionkey",
-    "histogram_build": f"""WITH c AS (SELECT "column", v, count(*) AS n FROM ({_H}) GROUP BY 1, 2), u AS (SELECT *, sum(n) OVER (PARTITION BY "column" ORDER BY v) AS upto, sum(n) OVER (PARTITION BY "column") AS total FROM c),
-b AS (SELECT *, sum(CASE WHEN (upto - n) * 10 >= total THEN 1 ELSE 0 END) OVER (PARTITION BY "column" ORDER BY v) AS bucket FROM u)
-SELECT "column", bucket::BIGINT AS bucket, max(upto)::BIGINT AS row_count, min(v) AS lower, max(v) AS upper, max_by(n, v) AS repeats FROM b GROUP BY 1, 2""",
+    "histogram_build": workload_sql.HISTOGRAM,
     "top_values": f"""WITH c AS (SELECT "column", v, count(*) AS n FROM ({_H}) GROUP BY 1, 2) SELECT "column", (row_number() OVER (PARTITION BY "column" ORDER BY n DESC, v))::INTEGER AS rank, v, n FROM c QUALIFY rank <= 5""",
     "column_summary": f"""SELECT "column", min(v) AS min_v, max(v) AS max_v, count(v) AS n_rows, count(DISTINCT v) AS ndv, count(*) - count(v) AS null_count FROM ({_H}) GROUP BY 1""",
     "pearson_matrix": "SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'l_quantity', 'l_partkey', round(corr(l_quantity, l_partkey), 6) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_partkey', round(corr(l_extendedprice, l_partkey), 6) FROM lineitem",
     "like_predicate": "SELECT p_partkey FROM part WHERE coalesce(p_name, '') LIKE '%re%'",
     "in_list": "SELECT p_partkey, p_size FROM part WHERE p_size IN (3, 7, 11)",
     "null_compat": "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size END AS x FROM part WHERE coalesce(CASE WHEN p_size % 5 <> 0 THEN p_size END > 30, true)",
-    "label_norm": "SELECT o_orderkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (ln(o_totalprice) - (SELECT min(ln(o_totalprice)) FROM orders)) / ((SELECT max(ln(o_totalprice)) FROM orders) - (SELECT min(ln(o_totalprice)) FROM orders)))), 6) AS y FROM orders",
+    "label_norm": "SELECT o_orderkey, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (ln(o_totalprice) - (SELECT min(ln(o_totalprice)) FROM orders)) / ((SELECT max(ln(o_totalprice)) FROM orders) - (SELECT min(ln(o_totalprice)) FROM orders)))), 6) AS y, round(o_totalprice, 2) AS back FROM orders",
     "one_hot": "SELECT n_nationkey, array_to_string([(i = n_regionkey)::INTEGER FOR i IN range(5)], '') AS bits FROM nation",
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATS_SCHEMA = """database_name string, table_name string, count bigint, modify_count bigint, columns map<string, struct<
@@ -10,7 +10,7 @@ null_count: bigint, tot_col_size: bigint, correlation: double,
 histogram: struct<ndv: bigint, buckets: array<struct<count: bigint, lower_bound: string, upper_bound: string, repeats: bigint>>>,
 cm_sketch: struct<top_n: array<struct<data: string, count: bigint>>>>>"""
 
-#: Columns of the movie tables; those of _integers() hold integers, the rest strings.
+#: Columns of the movie tables, by position; those of _integers() hold integers, the rest strings.
 MOVIE_TABLES = {
     "aka_name": "id person_id name imdb_index name_pcode_cf name_pcode_nf surname_pcode md5sum",
     "aka_title": "id movie_id title imdb_index kind_id production_year phonetic_code episode_of_id season_nr episode_nr note md5sum",
@@ -97,9 +97,26 @@ def text_plans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_plan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(plan_id, plan) of a JSON-lines file, lines that are null left out; plan_id grows with the place of a line."""
-    x = spark.read.text(path).withColumnRenamed("value", "plan").withColumn("plan_id", F.monotonically_increasing_id())
-    return x.where(~F.trim("plan").isin("", "null")).select("plan_id", "plan")
+    """(plan_id, plan) of JSON-lines files, lines that are null left out; plan_id is 0, 1, 2, ... in order of file names and lines."""
+    x = spark.read.text(path).select(F.col("value").alias("plan"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).alias("part"), F.monotonically_increasing_id().alias("at"))
+    x = x.where(~F.trim("plan").isin("", "null"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = x.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # a row for each split of a file
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    return x.withColumn("i", inside - 1).join(parts, "part").select((F.col("before") + F.col("i")).alias("plan_id"), "plan")
+
+
+def column_bounds(spark: SparkSession, path: str) -> DataFrame:
+    """(table, column, min_v, max_v, n_rows) from a JSON file of bounds by table and column."""
+    text = spark.read.text(path, wholetext=True)
+    kind = "map<string, map<string, struct<min: double, max: double, count: bigint>>>"
+    x = text.select(F.explode(F.from_json("value", kind)).alias("table", "columns")).select("table", F.explode("columns").alias("column", "b"))
+    return x.select("table", "column", F.col("b.min").alias("min_v"), F.col("b.max").alias("max_v"), F.col("b.count").alias("n_rows"))
+
+
+def batches(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The batches first..last that sinks.batches() wrote; other folders are not read."""
+    return spark.read.parquet(path).where(F.col("batch_id").between(first, last))
 
 
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +28,20 @@ def report(metrics: DataFrame, path: str) -> None:
 def batches(df: DataFrame, path: str) -> None:
     """Encoded plans, a folder for each batch."""
     df.repartition("batch_id").write.mode("overwrite").partitionBy("batch_id").parquet(path)
+
+
+def scatter(points: DataFrame, x: str, y: str, path: str, log: bool = True, most: int = 10_000) -> None:
+    """An SVG picture of actual against estimated values, with lines at equal, half and twice; `most` points by a hash."""
+    rows = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null").orderBy(F.xxhash64("x", "y")).limit(most).collect()
+    scale = (lambda v: math.log10(max(v, 1e-3))) if log else float
+    at = [(scale(r.x), scale(r.y)) for r in rows]
+    low, high = min((min(p) for p in at), default=0.0), max((max(p) for p in at), default=1.0)
+    size, span = 400, (high - low) or 1.0
+    place = lambda v: round(20 + (v - low) / span * size, 1)
+    dots = "".join(f'<circle cx="{place(a)}" cy="{size + 40 - place(b)}" r="2"/>' for a, b in at)
+    lines = ""
+    for factor in (0.5, 1.0, 2.0) if log else (1.0,):
+        shift = math.log10(factor) if log else 0.0
+        lines += f'<line x1="{place(low)}" y1="{size + 40 - place(low + shift)}" x2="{place(high)}" y2="{size + 40 - place(high + shift)}" stroke="gray"/>'
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'<svg xmlns="http://www.w3.org/2000/svg" width="{size + 40}" height="{size + 60}">{lines}{dots}<text x="20" y="{size + 55}">{x} against {y}</text></svg>')

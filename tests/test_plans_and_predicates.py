@@ -1,13 +1,14 @@
 """Readers, sinks, predicate text, bitmaps and JSON plans on small worked examples."""
 
 import base64
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from planwise.operators import bitmaps, predicates
-from planwise.plan_queries import QUERIES, json_plan
+from planwise.plan_queries import QUERIES
 from planwise.plans import json_plans
 from planwise.sources import readers, sinks
 
@@ -87,16 +88,16 @@ def test_bitmaps(spark):
 def test_bitmaps_of_the_whole_sample(spark, tmp_path, n):
     rows = [(k, None if k % 11 == 0 else ("red" if k % 3 else "blue"), None if k % 13 == 0 else f"Brand#{10 + k % 15}", None if k % 17 == 0 else ("MEDIUM" if k % 4 else "SMALL"), None if k % 19 == 0 else k % 50, 1.0) for k in range(n)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
-    order = sorted((r.h, r.id) for r in spark.range(n).select("id", F.xxhash64("id", F.lit(0)).alias("h")).collect())[:1000]
+    order = sorted((hashlib.md5(f"0:{k}".encode()).hexdigest(), k) for k in range(n))[:1000]
     kept = [rows[k] for k in sorted(k for _, k in order)]
     assert len({r[0] % 7 for r in kept}) == 7
     a = [(r[4] is None or r[4] > 10) and "re" in (r[1] or "") for r in kept]  # a missing number passes all but =
     b = [r[2] in ("Brand#11", "Brand#12", "Brand#23") for r in kept]
     c = [r[4] is None or r[4] <= 5 or r[3] != "MEDIUM" for r in kept]
     bits = lambda x: "".join("01"[y] for y in x).ljust(1000, "0")
-    got = {r["name"]: r.bits for r in QUERIES["predicate_bitmaps_sample"](spark, str(tmp_path)).collect()}
+    got = {r["name"]: r.bits for r in QUERIES["predicate_bitmaps"](spark, str(tmp_path)).collect()}
     assert got == {"a": bits(a), "b": bits(b), "c": bits(c)}
-    m = QUERIES["bitmap_and_or_sample"](spark, str(tmp_path)).first()
+    m = QUERIES["bitmap_and_or"](spark, str(tmp_path)).first()
     assert (m.a_and_c, m.a_or_b, m.node) == (bits(x and z for x, z in zip(a, c)), bits(x or y for x, y in zip(a, b)), bits(x and y and z for x, y, z in zip(a, b, c)))
 
 
@@ -107,11 +108,44 @@ def test_samples(spark):
     assert 50 < bitmaps.fraction_sample(rows, "id").count() < 300 and bitmaps.fraction_sample(spark.range(7), "id").count() == 7
 
 
+PLAN = [{"Plan": {"Node Type": "Aggregate", "Strategy": "Plain", "Actual Total Time": 30.0, "Actual Rows": 1, "Plans": [
+    {"Node Type": "Hash Join", "Hash Cond": "(o.o_custkey = c.c_custkey)", "Actual Total Time": 25.5, "Actual Rows": 40, "Plans": [
+        {"Node Type": "Seq Scan", "Relation Name": "orders", "Alias": "o", "Filter": "((o_totalprice > 100.5) AND (o_orderstatus = 'F'::text))"},
+        {"Node Type": "Hash", "Plans": [{"Node Type": "Index Scan", "Relation Name": "customer", "Alias": "c", "Index Name": "customer_pkey", "Index Cond": "(c_custkey < 90)"}]}]}]}}]
+
+
 def test_json_plan(spark):
-    n = {r.pos: r for r in json_plans.nodes(json_plan(spark)).collect()}
+    plan = spark.createDataFrame([(1, json.dumps(PLAN)), (2, "null")], "plan_id long, plan string")
+    n = {r.pos: r for r in json_plans.nodes(plan).collect()}
     assert [(n[i].node_type, n[i].depth, n[i].parent) for i in range(4)] == [("Hash Join", 0, None), ("Seq Scan", 1, 0), ("Hash", 1, 0), ("Index Scan", 2, 2)]
     assert json.loads(n[0].condition)[0] == {"op_type": "Compare", "operator": "=", "left_value": "orders.o_custkey", "right_value": "customer.c_custkey"}
-    seq = json_plans.sequences(json_plans.nodes(json_plan(spark))).first().seq
+    seq = json_plans.sequences(json_plans.nodes(plan)).first().seq
     assert [s is None for s in seq] == [False, False, True, False, False, True, True, True]
-    assert tuple(json_plans.labels(json_plan(spark)).first()) == (1, 25.5, 40.0)
-    assert json_plans.bounds(json_plans.nodes(json_plan(spark)), json_plans.labels(json_plan(spark))).first().max_condition == 6
+    assert tuple(json_plans.labels(plan).first()) == (1, 25.5, 40.0)
+    assert json_plans.bounds(json_plans.nodes(plan), json_plans.labels(plan)).first().max_condition == 6
+    odd = spark.createDataFrame([(3, json.dumps([{"Plan": {"Node Type": "Sort", "Sort Key": ["o.o_orderkey DESC"], "Plans": [{"Node Type": "Custom Scan", "Relation Name": "orders", "Alias": "o"}]}}]))], "plan_id long, plan string")
+    with pytest.raises(Exception, match="Custom Scan"):
+        json_plans.nodes(odd).collect()
+    assert json_plans.nodes(odd, strict=False).first()["keys"] == ["orders.o_orderkey"] and json_plans.learnable(json_plans.nodes(odd, strict=False)).count() == 0
+
+
+def test_lines_are_numbered_in_order(spark, tmp_path):
+    for f in range(2):
+        (tmp_path / f"{f}.json").write_text("".join("null\n" if i % 4 == 0 else f'[{{"Plan": {{"Node Type": "{f}-{i}"}}}}]\n' for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        x = readers.json_plan_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 2  # splits of files
+        got = sorted((r.plan_id, r.plan) for r in x.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [i for i, _ in got] == list(range(600)) and [json.loads(p)[0]["Plan"]["Node Type"] for _, p in got] == [f"{f}-{i}" for f in range(2) for i in range(400) if i % 4]
+
+
+def test_bounds_batches_and_pictures(spark, tmp_path):
+    (tmp_path / "b.json").write_text(json.dumps({"t": {"x": {"min": 1, "max": 9, "count": 5, "table": "t"}}}))
+    assert [tuple(r) for r in readers.column_bounds(spark, str(tmp_path / "b.json")).collect()] == [("t", "x", 1.0, 9.0, 5)]
+    sinks.batches(spark.range(300).withColumn("batch_id", F.floor(F.col("id") / 64)), str(tmp_path / "batches"))
+    assert readers.batches(spark, str(tmp_path / "batches"), 1, 2).count() == 128
+    sinks.scatter(spark.createDataFrame([(1.0, 2.0), (10.0, 0.0), (None, 1.0)], "a double, e double"), "a", "e", str(tmp_path / "p.svg"))
+    assert (tmp_path / "p.svg").read_text().count("<circle") == 2
