@@ -413,3 +413,43 @@ def test_toxicity_suspects_what_the_lattice_models():
     for (text, want), found in zip(disguised.items(), got):
         assert want in " ".join(found).split(), text
     assert got[-4] == got[-3] == got[-2] == got[-1] == []
+
+
+def test_restore_finds_the_best_path_of_the_lattice():
+    lm = letter_model(["you idiot and you shit ass fuck loser idiot shit ass loser"] * 5)
+
+    def every(word):
+        """All letter strings that a word may stand for, with the best joint score of each."""
+        paths, last = {"": 0.0}, ""
+        for c in word:
+            if "a" <= c <= "z":
+                options = [(c, toxicity.PLAIN)] + ([("", toxicity.REPEATED)] if c == last else [])
+            elif c in toxicity.LEET:
+                options = [(x, toxicity.DISGUISED) for x in toxicity.LEET[c]] + [("", toxicity.DISGUISED - 1)]
+            else:
+                options = [("", toxicity.PUT_IN)]
+            last, now = c, {}
+            for text, score in paths.items():
+                a, b = ([0, 0] + [ord(x) - 96 for x in text])[-2:]
+                for x, cost in options:
+                    s = score + cost + (lm[a, b, ord(x) - 96] if x else 0.0)
+                    now[text + x] = max(now.get(text + x, -np.inf), s)
+            paths = now
+        return {t: s + lm[(*([0, 0] + [ord(x) - 96 for x in t])[-2:], 0)] for t, s in paths.items()}
+
+    for word in ("1d10t", "sh1+", "a$$", "l0s3r", "i-d-i-o-t", "fuuck", "|d!0t", "4ss", "lll1ll", "5h17", "zzz"):
+        paths = every(word)
+        assert paths[toxicity.restore(word, lm)] == pytest.approx(max(paths.values())), word
+
+
+def test_quality_on_documents_it_was_not_fitted_on(spark):
+    r = random.Random(12)
+    texts = corpus(200, 12)[:250]
+    bad = {i for i, t in enumerate(texts) if i % 4 in (1, 2) and t}
+    texts = [" ".join(w.upper() + "!!" for w in t.split(" ")) if i in bad else t for i, t in enumerate(texts)]
+    seen = {i for i in range(len(texts)) if r.random() < 0.6}
+    known = spark.createDataFrame([(i, int(i not in bad), 0) for i in sorted(seen)], "doc_id long, quality int, toxic int")
+    got = {g.doc_id: g for g in quality_ordinal.graded(frame(spark, texts), known).collect()}
+    unseen = [i for i, t in enumerate(texts) if i not in seen and t and len(t) > 60]
+    assert len(unseen) > 60 and sum((got[i].p_selected >= 0.5) == (i not in bad) for i in unseen) >= 0.95 * len(unseen)
+    assert all(0 <= g.p_selected <= 1 and 0 <= g.expected_grade <= quality_ordinal.GRADES - 1 for g in got.values())
