@@ -4,8 +4,8 @@ Pieces and their scores, taken as log probabilities, come from a SentencePiece m
 kept as bytes, with the white-space marker as a space, in a double-array trie (base and check arrays).
 A text gets a space in front and is cut where a space follows another character: no piece goes across
 such a place, so the best segmentation of the whole is made of those of the parts. The trie is walked
-and the Viterbi recursion runs for many parts at once, position by position; known parts come from a
-bounded cache. A character that no piece of its own covers may also be given by byte pieces, at a
+and the Viterbi recursion runs for many parts at once, position by position, or byte by byte where few
+parts have about the same length, as long unbroken runs do; known parts come from a bounded cache. A character that no piece of its own covers may also be given by byte pieces, at a
 score below that of every piece.
 
 Decoding gives the pieces' bytes, markers as spaces, without the space in front: exactly the text.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ CACHE_PIECES = 250_000
 PENALTY = 10.0
 #: Cells of one Viterbi table.
 CELLS = 1 << 18
+#: Tables of fewer parts are done part by part, with the same result.
+FEW = 48
 
 _state: dict = {}
 
@@ -129,6 +132,7 @@ class Pieces(CachedEncoder):
         self.cut_spaces = not inner
         self.cut_lines = not any(b"\n" in k for k in keys)
         self.trie = DoubleArray(keys)
+        self.plain = (*(array("i", x.tobytes()) for x in (self.trie.base, self.trie.check, self.trie.value)), self.score.tolist())
         self.longest = max(map(len, keys))
         self.fallback = min(self.score[i] for i in keys.values()) - PENALTY
         self.surface = np.frombuffer(b"".join(surface), dtype=np.uint8)
@@ -176,6 +180,39 @@ class Pieces(CachedEncoder):
                 best[r, to], back[r, to], piece[r, to] = score[better], s, -1
         return back, piece
 
+    def viterbi_one(self, raw: bytes) -> array:
+        """Ids of one part by the recursion of viterbi(), with 16 bytes of memory for each of the part's."""
+        base, check, value, score = self.plain
+        n = len(raw)
+        best, back, piece = array("d", [-np.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for s in range(n):
+            here = best[s]
+            if here == -np.inf:
+                continue
+            first = raw[s]
+            whole = min(s + (1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4), n)
+            own, state = False, 0
+            for e in range(s + 1, n + 1):
+                to = base[state] + raw[e - 1]
+                if check[to] != state:
+                    break
+                state, p = to, value[to]
+                if p >= 0:
+                    own = own or e == whole
+                    if here + score[p] > best[e]:
+                        best[e], back[e], piece[e] = here + score[p], s, p
+            if not own and here + self.fallback > best[whole]:
+                best[whole], back[whole], piece[whole] = here + self.fallback, s, -1
+        out = array("i")
+        while n:
+            if piece[n] >= 0:
+                out.append(piece[n])
+            else:
+                out.extend(int(self.byte_id[c]) for c in reversed(raw[back[n] : n]))
+            n = back[n]
+        return out[::-1]
+
     def encode_pieces(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = end - start
         lists: list = [None] * len(n)
@@ -189,6 +226,11 @@ class Pieces(CachedEncoder):
                 if to - at > 65536:
                     break
             some = order[at:to]
+            at = to
+            if len(some) < FEW:
+                for i in some.tolist():
+                    lists[i] = np.array(self.viterbi_one(data[start[i] : end[i]].tobytes()), dtype=np.int64)
+                continue
             width = int(n[some[-1]])
             table = np.zeros((len(some), width), dtype=np.uint8)
             table[np.arange(width)[None, :] < n[some][:, None]] = data[spans(start[some], n[some])]
@@ -213,7 +255,6 @@ class Pieces(CachedEncoder):
             cut = np.searchsorted(row, np.arange(len(some) + 1))
             for k, i in enumerate(some.tolist()):
                 lists[i] = ids[cut[k] : cut[k + 1]]
-            at = to
         offsets = np.zeros(len(n) + 1, dtype=np.int64)
         np.cumsum([len(x) for x in lists], out=offsets[1:])
         return offsets, np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.uint32)

@@ -278,6 +278,24 @@ def test_token_files_of_repeated_ids_stripes_and_pruning(spark, tmp_path):
     assert token_orc.read_tokens(spark, f"{path}-none").count() == 0
 
 
+def test_sentence_pieces_of_unbroken_runs(monkeypatch):
+    """Parts done one by one and in tables have the same ids; a run of 400,000 bytes is no trouble."""
+    rng = random.Random(3)
+    signs = "abcdefghij ABC019+/=é▁漢🙂\t\n"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 300))) for _ in range(80)] + [None, "", " ", "é" * 300, "漢" * 200 + "🙂" * 50]
+    column = text_bytes(pa.array(texts, pa.string()))
+    found = []
+    for few in (0, 48, 1 << 30):
+        monkeypatch.setattr(sentence_pieces, "FEW", few)
+        found.append(sentence_pieces.Pieces().texts(*column))
+    for ids, at in found[1:]:
+        assert np.array_equal(ids, found[0][0]) and np.array_equal(at, found[0][1])
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400_000))
+    p = sentence_pieces._pieces(sentence_pieces.MODEL)
+    ids, at = p.texts(*text_bytes(pa.array([run], pa.string())))
+    assert p.decode(ids, at)[0].tobytes() == run.encode()
+
+
 def test_sentence_pieces(spark):
     p = sentence_pieces._pieces(sentence_pieces.MODEL)
     texts = [*corpus()[:30], "a  b", "x\n\ny", "▁ é 𐍈", "日本"]
