@@ -471,3 +471,39 @@ def test_quality_on_documents_it_was_not_fitted_on(spark):
     unseen = [i for i, t in enumerate(texts) if i not in seen and t and len(t) > 60]
     assert len(unseen) > 60 and sum((got[i].p_selected >= 0.5) == (i not in bad) for i in unseen) >= 0.95 * len(unseen)
     assert all(0 <= g.p_selected <= 1 and 0 <= g.expected_grade <= quality_ordinal.GRADES - 1 for g in got.values())
+
+
+def test_toxicity_weighs_readings_by_all_documents(spark, monkeypatch):
+    """Readings against a plain version over whole texts; common words and others meet the documents alike."""
+    rng = random.Random(5)
+    plain = ["letter", "ball", "stupid", "moron", "better", "a", "ass", "seen", "café"]
+    odd = ["stuppid", "stuuupid", "m0r0n", "m.o.r.o.n", "balll", "bet7er", "a s s", "x  y z  u", "1l1", "", "¡diot", "q" * 40 + "!" + "a" * 30]
+    texts = [" ".join(rng.choices(plain, k=30) + rng.choices(odd, k=4)) for _ in range(60)] + [None, "", "letter " * 50 + "m0r0n"]
+    docs = frame(spark, texts)
+    lm = toxicity.language_model(docs)
+    read = toxicity.read_words(docs, lm, {})
+    got = {bytes(r.key): (r.reading, r.n) for r in read.collect()}
+    seen, found = {}, {}
+    for t in texts:
+        for w in re.findall("[A-Za-z]+", t or ""):
+            if not re.search(r"(.)\1\1", w.lower()):
+                seen[w.lower()] = seen.get(w.lower(), 0) + 1
+        for w in {w for w, _ in toxicity.suspected(*text_bytes(pa.array([t], pa.string())))}:
+            found[w] = found.get(w, 0) + 1
+    total, want = sum(seen.values()), {}
+    for w, n in found.items():
+        best = []
+        for part in toxicity.parted(w.decode("utf-8", "ignore")):
+            options = toxicity.lattice(part, lm, toxicity.BEST)
+            best.append(max((c + np.log((1 - toxicity.UNSEEN) / total * seen.get(x, 0) + toxicity.UNSEEN * np.exp(s - c)), x) for s, c, x in options)[1])
+        reading = toxicity.composed(w.decode("utf-8", "ignore"), best, {})
+        if reading:
+            want[toxicity.key_of(w)] = (reading, n)
+    assert got == want
+    assert got[b"stuppid"][0] == got[b"stuuupid"][0] == "stupid" and got[b"m0r0n"][0] == "moron" and b"letter" not in got
+    places = spark.createDataFrame([(i, [toxicity.key_of(w) for w, _ in dict.fromkeys(toxicity.suspected(*text_bytes(pa.array([t], pa.string()))))]) for i, t in enumerate(texts)], "place long, keys array<binary>")
+    sides = []
+    for hot in (1, 20, 1 << 20):
+        monkeypatch.setattr(toxicity, "HOT", hot)
+        sides.append({r.place: sorted(r.extra) for r in toxicity.readings_of(places, read).collect()})
+    assert sides[0] == sides[1] == sides[2] and sides[0]
