@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from planwise.llm import html_extract, maxscore, mixing, ngram_join, quality_ordinal, sentence_pieces, suffix_dedup, token_orc, toxicity, vector_join
 from planwise.llm.components import forest
 from planwise.llm.storage import new_path
-from planwise.llm.textkernel import text_bytes
+from planwise.llm.textkernel import hash_of, prefix_hash, text_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -483,12 +483,22 @@ def test_toxicity_weighs_readings_by_all_documents(spark, monkeypatch):
     lm = toxicity.language_model(docs)
     read = toxicity.read_words(docs, lm, {})
     got = {bytes(r.key): (r.reading, r.n) for r in read.collect()}
-    seen, found = {}, {}
+    seen, found, keys = {}, {}, []
+
+    def key_of(w):
+        d = np.frombuffer(w, np.uint8)
+        return b"".join(hash_of(prefix_hash(x), np.array([0]), np.array([len(d)])).tobytes() for x in (d, 255 - d))
+
     for t in texts:
         for w in re.findall("[A-Za-z]+", t or ""):
             if not re.search(r"(.)\1\1", w.lower()):
                 seen[w.lower()] = seen.get(w.lower(), 0) + 1
-        for w in {w for w, _ in toxicity.suspected(*text_bytes(pa.array([t], pa.string())))}:
+        data, offsets = text_bytes(pa.array([t], pa.string()))
+        raw, own = data.tobytes(), {}
+        for s, e, r in zip(*(x.tolist() for x in toxicity.suspected(data, offsets)), strict=True):
+            own[raw[s:e]] = key_of(raw[s:e])
+        keys.append(list(own.values()))
+        for w in own:
             found[w] = found.get(w, 0) + 1
     total, want = sum(seen.values()), {}
     for w, n in found.items():
@@ -498,10 +508,10 @@ def test_toxicity_weighs_readings_by_all_documents(spark, monkeypatch):
             best.append(max((c + np.log((1 - toxicity.UNSEEN) / total * seen.get(x, 0) + toxicity.UNSEEN * np.exp(s - c)), x) for s, c, x in options)[1])
         reading = toxicity.composed(w.decode("utf-8", "ignore"), best, {})
         if reading:
-            want[toxicity.key_of(w)] = (reading, n)
+            want[key_of(w)] = (reading, n)
     assert got == want
-    assert got[b"stuppid"][0] == got[b"stuuupid"][0] == "stupid" and got[b"m0r0n"][0] == "moron" and b"letter" not in got
-    places = spark.createDataFrame([(i, [toxicity.key_of(w) for w, _ in dict.fromkeys(toxicity.suspected(*text_bytes(pa.array([t], pa.string()))))]) for i, t in enumerate(texts)], "place long, keys array<binary>")
+    assert got[key_of(b"stuppid")][0] == got[key_of(b"stuuupid")][0] == "stupid" and got[key_of(b"m0r0n")][0] == "moron" and key_of(b"letter") not in got
+    places = spark.createDataFrame(list(enumerate(keys)), "place long, keys array<binary>")
     sides = []
     for hot in (1, 20, 1 << 20):
         monkeypatch.setattr(toxicity, "HOT", hot)
