@@ -40,10 +40,23 @@ def parse_ranges(queries: DataFrame) -> DataFrame:
 def selectivities(ranges: DataFrame, df: DataFrame, columns: list[str], buckets: int = 10) -> DataFrame:
     """(query_id, column, sel, total) of each range, from histograms of df's columns."""
     counts = cut(stats.value_counts(df, columns))
-    known = stats.bucket_arrays(stats.histogram(counts, buckets)).join(counts.groupBy("column").agg(F.count("*").alias("ndv")), "column")
-    x = ranges.join(known, "column").withColumn("total", F.element_at("buckets", -1).row_count)
-    first, last = F.element_at("buckets", 1).lower, F.element_at("buckets", -1).upper
-    rows = stats.between_rows(F.coalesce(F.col("lo") + 1, first), F.coalesce("hi", last + 1), F.col("buckets"), F.col("ndv"))
+    ends = counts.groupBy("column").agg(F.sum("n").alias("total"), F.count("*").alias("ndv"), F.min("v").alias("lower"), F.max("v").alias("last"))
+    x = ranges.join(ends.select("column", "lower", "last"), "column")
+    x = cut(x.select("query_id", "column", F.coalesce(F.col("lo") + 1, "lower").alias("low"), F.coalesce("hi", F.col("last") + 1).alias("high")))
+    # sides are values without rows among the others: no task holds all buckets of a column
+    asked = x.select("column", F.explode(F.array("low", "high")).alias("v"), F.lit(0).cast("long").alias("n"))
+    places = cut(stats.running_total(counts.union(asked).groupBy("column", "v").agg(F.sum("n").alias("n")), ["column"], "v", "n", "upto"))
+    # the first bucket, the only one of several values; rows below any other value are counted
+    first = places.join(ends.select("column", "total"), "column").where((F.col("n") > 0) & ((F.col("upto") - F.col("n")) * buckets < F.col("total")))
+    ends = ends.join(first.groupBy("column").agg(F.max("v").alias("upper"), (F.max("upto") - F.max_by("n", "v")).alias("before")), "column")
+    asked = x.select("column", F.explode(F.array("low", "high")).alias("v")).distinct().join(places, ["column", "v"]).join(ends, "column")
+    v = F.col("v")
+    share = (v - F.col("lower")) / (F.col("upper") - F.col("lower")).cast("double")
+    inside = (v >= F.col("lower")) & (v < F.col("upper"))
+    asked = cut(asked.select("column", "v", "total", "ndv", F.when(inside, share * F.col("before")).otherwise((F.col("upto") - F.col("n")).cast("double")).alias("below")))
+    low = asked.select("column", F.col("v").alias("low"), F.col("below").alias("lo"), "total", "ndv")
+    x = x.join(low, ["column", "low"]).join(asked.select("column", F.col("v").alias("high"), F.col("below").alias("hi")), ["column", "high"])
+    rows = stats.between(F.col("lo"), F.col("hi"), F.col("total"), F.col("ndv"))
     return x.select("query_id", "column", F.greatest(F.lit(0.0), F.least(F.lit(1.0), rows / F.col("total"))).alias("sel"), "total")
 
 

@@ -105,8 +105,11 @@ def less_rows(v, buckets):
 
 def between_rows(low, high, buckets, ndv):
     """Estimated rows in [low, high)."""
-    lo, hi = less_rows(low, buckets), less_rows(high, buckets)
-    total = F.element_at(buckets, -1).row_count
+    return between(less_rows(low, buckets), less_rows(high, buckets), F.element_at(buckets, -1).row_count, ndv)
+
+
+def between(lo, hi, total, ndv):
+    """Estimated rows from those below either end of a range."""
     return F.when((lo >= hi) & (ndv > 0), F.least(hi, total - lo, total / ndv)).otherwise(hi - lo)
 
 

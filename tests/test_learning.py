@@ -42,6 +42,14 @@ def test_buckets_follow_the_columns(spark):
     assert serving.answer("/cardinality", b"junk", {}, {})["selectivity"] is None
 
 
+def test_selectivities_hold_no_column_in_one_row(spark):
+    df = spark.range(20_000).select(F.col("id").alias("x"))
+    asked = spark.createDataFrame([(0, "x", 100, 5000), (1, "x", 9_999, 30_000)], "query_id int, column string, lo long, hi long")
+    got = estimate.selectivities(asked, df, ["x"])
+    assert not any(word in got._jdf.queryExecution().toString() for word in ("collect_list", "array_sort"))
+    assert {r.query_id: r.sel for r in got.collect()} == {0: pytest.approx((5000 - 101 / 1999 * 1999) / 20_000), 1: 0.5}
+
+
 def test_workloads(spark):
     domains = {"a": (0, 10), "b": (100, 400), "c": (0, 7), "d": (-5, 5), "e": (0, 1000)}
     q = workloads.random_ranges(spark, 300, domains, "db.t")
