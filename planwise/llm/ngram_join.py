@@ -5,15 +5,14 @@ similarity is at least `percent` hundredths.
 
 1. Every document gets its set's size and a 128-bit fingerprint; documents with equal sets are one
    class, a node with an id of its own, and need no comparison. All that follows sees each class once.
-2. Documents that can link meet by prefix filtering: ordered by a global order, two linked sets share
-   one of their first |A| - ceil(percent |A| / 100) + 1 shingles. The order puts rare shingles first,
-   by a table of counts that all documents are hashed into. The table has a fixed size: it decides
-   how well candidates are chosen, never which links are found.
-3. In each rare shingle's list, which its counter bounds, neighbours in order of size whose sizes allow
-   a link are chained. Lists of shingles whose counters are full have no bound: they are cut by size
-   (linked sets are in the same or the next step, and each set is in both) and by salt, each part is
-   joined to its least node, and these to the least of all parts. The components are the candidate
-   groups; no link crosses them.
+2. Documents that can link meet by neighbours in a global order, which puts rare shingles first by a table of
+   counts that all documents are hashed into, and goes by hash where counts are equal: each shingle that only one of two linked
+   sets has lies in one gap between shingles that both have, so the first gap that is empty in both comes
+   after at most |A \\ B| + |B \\ A| others, and its two shingles are neighbours within the first
+   2 |A| (100 - percent) / 100 + 2 of each set. Each such pair of neighbours is a key. A key says that two shingles
+   are there and none between them, so sets that share a phrase by chance seldom share one, however many there are.
+3. In each key's list, neighbours in order of size whose sizes allow a link are chained. The components
+   are the candidate groups; no link crosses them.
 4. Each group builds a signature tree: nodes hold the OR of their documents' token bitmaps, with the
    greatest count per bit, and the range of sizes. A dual traversal leaves out pairs of nodes whose
    maximum possible overlap is too small, and pairs already joined; leaf pairs are verified exactly.
@@ -37,21 +36,25 @@ from pyspark.sql import functions as F
 
 from planwise.llm.components import connected_components
 from planwise.llm.grouped import groups
-from planwise.llm.storage import drop, fresh, hash_side, materialize
+from planwise.llm.storage import collect, drop, fresh, hash_side, materialize
 from planwise.llm.textkernel import mix64, shingle_hashes, steps, text_bytes
 
 WIDTH = 4
 PERCENT = 85
-#: log2 of the number of counters. 16 MB of them tell shingles of some dozens of documents from rare
-#: ones in up to a billion distinct shingles; a larger corpus takes 2 or 4 more for short candidate lists.
-COUNTERS = 24
-CHUNK_COUNTERS = 1 << 18
 GROUP_ROWS = 1024
 FANOUT = 4
-#: Counters are full at this count, and shingles with full counters common.
-FULL = 255
-#: Parts of a common shingle's list, for each step of sizes.
+#: From this percentage on, the gaps of two linked sets outnumber the shingles that only one has.
+PAIRED = 75
+#: log2 of the number of counters. However many shingles share one, those of a line or passage that many texts
+#: have stand out from the mean by more than the spread of the others.
+COUNTERS = 24
+CHUNK_COUNTERS = 1 << 18
+#: Counters are held at this count, and those of a task at TASK_FULL.
+FULL, TASK_FULL = 65535, 255
+#: Parts of a common shingle's list in an earlier form of candidates; callers still set it, it has no effect.
 SALTS = 1024
+#: Fingerprints that a task remembers, to give the keys of equal sets once.
+REMEMBERED = 1 << 18
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -71,7 +74,7 @@ def _counts(width: int, bits: int):
             for part in steps(batch):
                 sets = shingle_hashes(*text_bytes(part.column(0)), width)
                 at, n = np.unique((np.concatenate(sets) >> shift).astype(np.int64), return_counts=True)
-                table[at] = np.minimum(table[at] + n, FULL)
+                table[at] = np.minimum(table[at] + n, TASK_FULL)
         if table.any():
             for at in range(0, len(table), CHUNK_COUNTERS):
                 chunk = table[at : at + CHUNK_COUNTERS].astype(np.uint8)
@@ -81,53 +84,73 @@ def _counts(width: int, bits: int):
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in groups(batches, 1):
-        out = np.zeros(CHUNK_COUNTERS, dtype=np.uint16)
-        for x in t.column(1):
-            out = np.minimum(out + np.frombuffer(x.as_buffer(), dtype=np.uint8), FULL)
-        yield pa.RecordBatch.from_arrays([t.column(0).slice(0, 1).combine_chunks(), pa.array([out.astype(np.uint8).tobytes()])], ["at", "counts"])
+def _add(full: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 1):
+            out = np.zeros(CHUNK_COUNTERS, dtype=np.uint32)
+            for x in t.column(1):
+                out = np.minimum(out + np.frombuffer(x.as_buffer(), dtype=np.uint8), full)
+            yield pa.RecordBatch.from_arrays([t.column(0).slice(0, 1).combine_chunks(), pa.array([out.astype(np.uint16).tobytes()])], ["at", "counts"])
+
+    return run
 
 
-def shingle_counts(docs: DataFrame, width: int = WIDTH, bits: int = COUNTERS) -> np.ndarray:
-    """Counts of hashed shingles over all documents, held at 255: 2**bits bytes, whatever the corpus."""
+def shingle_counts(docs: DataFrame, width: int = WIDTH, bits: int = COUNTERS, full: int = FULL) -> np.ndarray:
+    """Counts of hashed shingles over all documents, held at `full`: 2**(bits + 1) bytes, whatever the corpus."""
     kind = "at int, counts binary"
-    parts = docs.select("text").mapInArrow(_counts(width, bits), kind).repartition("at").sortWithinPartitions("at").mapInArrow(_add, kind)
-    table = np.zeros(1 << bits, dtype=np.uint8)
+    parts = docs.select("text").mapInArrow(_counts(width, bits), kind).repartition("at").sortWithinPartitions("at").mapInArrow(_add(full), kind)
+    table = np.zeros(1 << bits, dtype=np.uint16)
     for at, counts in parts.toLocalIterator():
-        table[at : at + CHUNK_COUNTERS] = np.frombuffer(counts, dtype=np.uint8)
+        table[at : at + CHUNK_COUNTERS] = np.frombuffer(counts, dtype=np.uint16)
     return table
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
-    np.cumsum([len(x) for x in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
+def _sizes(width: int):
+    """(doc_id, text_hash, f1, f2, n): fingerprint and size of each document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch):
+                sets = shingle_hashes(*text_bytes(part.column(1)), width)
+                f1, f2 = zip(*map(fingerprint, sets), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "text_hash", "f1", "f2", "n"])
+
+    return run
+
+
+def ordered(sets: list[np.ndarray], counts: np.ndarray) -> list[np.ndarray]:
+    """Sorted sets by the counts of their shingles, then by hash."""
+    shift = np.uint64(64 - len(counts).bit_length() + 1)
+    return [s[np.argsort(counts[(s >> shift).astype(np.int64)], kind="stable")] for s in sets]
+
+
+def keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the set, key) of sets in a global order: two linked sets that differ share a key."""
+    if percent >= PAIRED:
+        heads = [s[: 2 * len(s) * (100 - percent) // 100 + 2] for s in sets]
+    else:
+        heads = [s[: len(s) - (percent * len(s) + 99) // 100 + 1] if len(s) else s for s in sets]
+    at = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    token = np.concatenate([*heads, np.zeros(0, np.uint64)])
+    if percent < PAIRED:
+        return at, token
+    same = at[1:] == at[:-1]
+    return at[1:][same], mix64(mix64(token[:-1][same]) + token[1:][same])
 
 
-def _prefixes(width: int, percent: int, table, bits: int, full: int):
-    """Each document's (doc_id, text_hash, f1, f2, n) with its prefix: the rare and the common shingles in it, by whether their counters are below `full`."""
+def _keys(width: int, percent: int, table):
+    """(key, f1, n) of each document's keys, once for most of a task's equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, shift = table.value, np.uint64(64 - bits)
+        seen: set[int] = set()
         for batch in batches:
             for part in steps(batch):
-                f1, f2, size, rare, common = [], [], [], [], []
-                for s in shingle_hashes(*text_bytes(part.column(1)), width):
-                    a, b = fingerprint(s)
-                    f1.append(a)
-                    f2.append(b)
-                    size.append(len(s))
-                    k = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-                    c = counts[(s >> shift).astype(np.int64)]
-                    if k < len(s):
-                        cut = np.partition(c, k - 1)[k - 1]
-                        low, even = np.flatnonzero(c < cut), np.flatnonzero(c == cut)
-                        own = np.concatenate([low, even[: k - len(low)]])
-                        s, c = s[own], c[own]
-                    rare.append(s[c < full])
-                    common.append(s[c >= full])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(size, pa.int64()), _lists(rare), _lists(common)], ["doc_id", "text_hash", "f1", "f2", "n", "rare", "common"])
+                own = {f: s for s in shingle_hashes(*text_bytes(part.column(0)), width) if (f := fingerprint(s)[0]) not in seen}
+                seen = seen if len(seen) < REMEMBERED else set()
+                seen.update(own)
+                at, key = keys(ordered(list(own.values()), table.value), percent)
+                f1, n = np.array(list(own), dtype=np.int64), np.array([len(s) for s in own.values()], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(f1[at]), pa.array(n[at])], ["key", "f1", "n"])
 
     return run
 
@@ -234,38 +257,33 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _chains(sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): edges whose components no link of sets(node, n, rare, common) crosses."""
-    order = Window.partitionBy("token").orderBy("n", "node")
-    near = sets.select("node", "n", F.explode("rare").alias("token")).select("node", "n", F.lag("node").over(order).alias("p"), F.lag("n").over(order).alias("pn"))
-    near = near.where(f"100 * pn >= {percent} * n").select("node", "p")
-    # sizes of linked sets are at most one step apart; the step is widened by more than logarithms are off
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1.0))
-    far = sets.where(F.size("common") > 0).select("node", "n", F.explode("common").alias("token")).select("node", "token", F.explode(F.array(step, step + 1)).alias("step"))
-    part = ["token", "step", "salt"]
-    far = far.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    star = far.select("node", F.min("node").over(Window.partitionBy(*part)).alias("p"))
-    tops = far.groupBy(*part).agg(F.min("node").alias("node"))  # SALTS rows at most for each token and step
-    tops = tops.select("node", F.min("node").over(Window.partitionBy("token", "step")).alias("p"))
-    return near.union(star).union(tops).where("node <> p").distinct()
+def _chains(each: DataFrame, percent: int) -> DataFrame:
+    """(u, v): edges whose components no link of sets with each(key, f1, n) crosses."""
+    order = Window.partitionBy("key").orderBy("n", "f1")
+    near = each.select("f1", "n", F.lag("f1").over(order).alias("p"), F.lag("n").over(order).alias("pn"))
+    return near.where(f"100 * cast(pn as long) >= {percent} * cast(n as long) and f1 <> p").select("f1", "p")
 
 
 def _rows(docs: DataFrame, width: int, percent: int, bits: int, group_rows: int, full: int = FULL) -> DataFrame:
     """(doc_id, text_hash, n, component_id, leader_hash) for each row of docs(doc_id, text): the last two name the least row of its component; a written table."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    table = spark.sparkContext.broadcast(shingle_counts(docs, width, bits))
-    x = materialize(docs.mapInArrow(_prefixes(width, percent, table, bits, full), "doc_id long, text_hash long, f1 long, f2 long, n long, rare array<long>, common array<long>"), "prefixes")
+    x = materialize(docs.mapInArrow(_sizes(width), "doc_id long, text_hash long, f1 long, f2 long, n long"), "sizes")
     known = x.where("n > 0 and doc_id is not null")
     # one node for each class of equal sets; the ids are fixed once the table is written
-    sets = known.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("common").alias("common"))
+    sets = known.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n").alias("n"))
     sets = materialize(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    found = connected_components(_chains(sets, percent))
-    groups = found.select("node", F.col("component").alias("grp")).union(found.select("component", "component")).distinct()
+    # candidates go by half of the fingerprint: where halves of different sets are equal, a group is larger
+    table = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width, bits, full))
+    collect(docs.sparkSession)
+    each = docs.where("doc_id is not null").select("text").mapInArrow(_keys(width, percent, table), "key long, f1 long, n int")
+    found = connected_components(_chains(each, percent))
+    collect(docs.sparkSession)
+    groups = found.select(F.col("node").alias("f1"), F.col("component").alias("grp")).union(found.select("component", "component")).distinct()
 
     # one document stands for each class
-    sizes = groups.groupBy("grp").count()
-    classes = sets.select("node", "least.*").join(groups, "node").join(sizes, "grp")
+    classes = sets.join(groups, "f1")
+    sizes = classes.groupBy("grp").count()
+    classes = classes.select("node", "least.*", "grp").join(sizes, "grp")
     chunks = F.when(F.col("count") <= group_rows, F.lit(1)).otherwise(F.ceil(F.col("count") * 2 / group_rows)).cast("int")
     classes = classes.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     classes = materialize(classes.select("grp", "chunks", "chunk", "node", "doc_id", "text_hash"), "classes")
@@ -276,6 +294,7 @@ def _rows(docs: DataFrame, width: int, percent: int, bits: int, group_rows: int,
     # texts travel rather than sets: hashes don't compress
     y = y.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b")
     joined = connected_components(y.mapInArrow(_verify(width, percent), "u long, v long"))
+    collect(docs.sparkSession)
 
     # documents of a class share its component, which is named by its least row
     per = sets.select("f1", "f2", "node", "least").join(joined, "node", "left").select("f1", "f2", "least", F.coalesce("component", "node").alias("component"))

@@ -49,6 +49,33 @@ def test_ngram_join(spark):
     assert got == {i: (len(s), int(want[i])) for i, s in enumerate(sets)}
 
 
+def test_linked_sets_share_a_key_and_sets_of_one_phrase_do_not():
+    r = np.random.default_rng(5)
+    for percent in (50, 75, 80, 85, 95):
+        for _ in range(1500):
+            both = r.integers(0, 1 << 63, int(r.integers(1, 60)), dtype=np.uint64)
+            # near the bound, with the differing shingles where they are in the way most: before all others
+            a, b = (np.unique(np.concatenate([both, r.integers(0, 1 << int(r.choice([20, 63])), int(r.integers(0, 9)), dtype=np.uint64)])) for _ in range(2))
+            if ngram_join.linked(a, b, percent) and len(np.setxor1d(a, b)):
+                at, key = ngram_join.keys([a, b], percent)
+                assert np.isin(key[at == 0], key[at == 1]).any(), (percent, len(a), len(b))
+    phrase = r.integers(0, 1 << 63, 4, dtype=np.uint64)  # in each of many sets; one shingle of it made all of them one group
+    sets = [np.unique(np.concatenate([phrase, r.integers(0, 1 << 63, 300, dtype=np.uint64)])) for _ in range(500)]
+    at, key = ngram_join.keys(sets, 85)
+    assert len(np.unique(key)) > 0.999 * len(key)
+
+
+def test_candidate_groups_stay_small_where_counters_are_full(spark):
+    # each text has some of a few common phrases; counters that are all alike don't tell them from the rest
+    r = random.Random(8)
+    phrases = [" ".join(f"p{i}w{k}" for k in range(4)) for i in range(12)]
+    texts = [" ".join(f"{r.choice(phrases)} {' '.join(f'{d}x{k}y{j}' for j in range(4))}" for k in range(9)) for d in range(300)]
+    table = spark.sparkContext.broadcast(np.full(16, 9, dtype=np.uint16))
+    each = frame(spark, texts).select("text").mapInArrow(ngram_join._keys(4, 85, table), "key long, f1 long, n int")
+    found = ngram_join.connected_components(ngram_join._chains(each, 85)).groupBy("component").count().collect()
+    assert max([x["count"] for x in found], default=0) < 60
+
+
 def windows(raws, length):
     """Places (row, offset) of byte strings that start at two places."""
     seen = {}
