@@ -8,9 +8,11 @@
    each different word of all documents; of these the one that is most probable as a word is taken, by the
    counts of all words of all documents, a distributed table that grows with them.
    Words and spelled-out runs are decoded whole, whatever their length; where separators may part words,
-   the letters are also cut into the words that the labelled sample makes most probable.
+   the letters are also cut into the words that all documents, plain or restored, make most probable: words of up to
+   SHORT letters are broadcast, at most 18,278, and longer ones joined to the runs that hold them.
 3. A logistic model over hashed words and prefixes scores a document with its restored words added.
-   It is fitted on at most SAMPLE labelled documents outside the held-out fold.
+   It is fitted on all labelled documents outside the held-out fold: their features are counted, and each step's
+   gradient summed, on the executors, in integers, so that no order of rows changes a result.
 
 Defined cases: words without any letter (numbers, prices, dates) are no disguises; null and empty texts
 get the score of a text without words; an empty table gives an empty result; without labels of both kinds every score is the share of toxic labels; repeated rows
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planwise.llm.lexical import BUCKETS, SAMPLE, presence, sample, select
+from planwise.llm.lexical import BUCKETS, presence
 from planwise.llm.piececache import spans
-from planwise.llm.storage import drop, materialize
+from planwise.llm.storage import collect, drop, materialize
 from planwise.llm.textkernel import LOWER, hash_of, prefix_hash, runs, steps, text_bytes, words
 
 FOLDS = 5
@@ -55,6 +58,14 @@ _GAP = re.compile(r"(?:_|[^\w" + re.escape("".join(LEET)) + "])+")
 BEST, UNSEEN = 4, 0.01
 #: Words in more than one of so many places are common; of those, readings of so many letters at most are broadcast.
 HOT, HOT_LETTERS = 4096, 256
+#: Letters of the words that every run is held against; the others are joined.
+SHORT = 3
+#: 64-bit words of a bitmap of hashes: it decides how many rows a join looks at, never what it finds.
+MARKS = 1 << 18
+#: Evaluations of the model's loss at most, relative gain at which it stops, pairs that it remembers, ridge, tasks that sum, and their integers' unit.
+EVALUATIONS, LEAST_GAIN, PAIRS, RIDGE, TASKS, UNIT = 24, 1e-4, 8, 0.05, 128, float(1 << 30)
+#: Least z score of a feature's share among toxic documents, and documents that it is in at least.
+LEAST_Z, LEAST_DOCS = 4.0, 3
 _PRIME = (1 << 61) - 1
 _fold = np.zeros(256, dtype=np.uint8)
 _fold[65:91] = np.arange(1, 27)
@@ -304,18 +315,6 @@ def restored(data: np.ndarray, offsets: np.ndarray, lm: np.ndarray, known: dict[
     return out
 
 
-def features(data: np.ndarray, offsets: np.ndarray, lm: np.ndarray, known: dict, keep: np.ndarray | None, vocabulary: dict[int, dict[str, float]] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the texts with their restored words."""
-    row, f = presence(data, offsets, keep)
-    extra = restored(data, offsets, lm, known, vocabulary)
-    if any(extra):
-        more = text_bytes(pa.array([" ".join(x) for x in extra], pa.string()))
-        r2, f2 = presence(*more, keep)
-        pairs = np.unique(np.concatenate([row, r2]) * BUCKETS + np.concatenate([f, f2]))
-        row, f = pairs // BUCKETS, pairs % BUCKETS
-    return row, f
-
-
 def vocabulary(texts: pa.Table, lm: np.ndarray) -> dict[int, dict[str, float]]:
     """Log probabilities of the words, written plainly or restored, of at least LEAST_ROWS texts, by their length."""
     seen: Counter = Counter()
@@ -333,38 +332,6 @@ def vocabulary(texts: pa.Table, lm: np.ndarray) -> dict[int, dict[str, float]]:
     return out
 
 
-def fit(texts: pa.Table, target: np.ndarray, lm: np.ndarray, most: int = FEATURES, rounds: int = 300, vocabulary: dict[int, dict[str, float]] | None = None, known: dict | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias) of a logistic model with a ridge penalty, by Newton-like coordinate steps; known: readings of the texts' disguised words."""
-    rows, fs, at, known = [], [], 0, {} if known is None else known
-    for batch in texts.combine_chunks().to_batches():
-        for part in steps(batch):
-            r, f = features(*text_bytes(part.column(part.schema.get_field_index("text"))), lm, known, None, vocabulary)
-            rows.append(r + at)
-            fs.append(f)
-            at += part.num_rows
-    share = (target.sum() + 0.5) / (len(target) + 1)
-    if not rows or not 0 < target.sum() < len(target):
-        return np.zeros(0, np.int64), np.zeros(0), math.log(share / (1 - share))
-    row, f = np.concatenate(rows), np.concatenate(fs)
-    chosen = select(row, f, target > 0, most)
-    at = np.searchsorted(chosen, f)
-    hit = (at < len(chosen)) & (chosen[np.minimum(at, max(len(chosen) - 1, 0))] == f) if len(chosen) else np.zeros(len(f), bool)
-    row, at = row[hit], at[hit]
-    w, b = np.zeros(len(chosen)), math.log(share / (1 - share))
-    m = np.zeros(len(chosen) + 1)
-    v = np.zeros(len(chosen) + 1)
-    for t in range(1, rounds + 1):  # Adam on the full sample
-        z = b + np.bincount(row, weights=w[at], minlength=len(target))
-        d = 1 / (1 + np.exp(-z)) - target
-        g = np.append(np.bincount(at, weights=d[row], minlength=len(chosen)) + 0.05 * w, d.sum()) / len(target)
-        m = 0.9 * m + 0.1 * g
-        v = 0.99 * v + 0.01 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w -= step[:-1]
-        b -= step[-1]
-    return chosen, w, float(b)
-
-
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part in steps(b):
@@ -412,27 +379,104 @@ def _lattices(model):
     return run
 
 
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, word, n, best, parted): the most probable reading of each part of a word; whether gaps may part words in it."""
+    for b in batches:
+        for s in range(0, b.num_rows, 500):
+            some = b.slice(s, 500)
+            out = []
+            for found in some.column(3).to_pylist():
+                best: dict = {}
+                for x in found:
+                    best[x["part"]] = max(best.get(x["part"], (-math.inf, "")), (x["joint"], x["reading"]))
+                out.append([best[i][1] for i in sorted(best)])
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(out, pa.list_(pa.string())), pa.array([bool(_GAP.search(w)) for w in some.column(1).to_pylist()], pa.bool_())], ["key", "word", "n", "best", "parted"])
+
+
 def _composed(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 some = b.slice(s, 500)
                 out = []
-                for word, found in zip(some.column(1).to_pylist(), some.column(3).to_pylist(), strict=True):
-                    best: dict = {}
-                    for x in found:
-                        best[x["part"]] = max(best.get(x["part"], (-math.inf, "")), (x["joint"], x["reading"]))
-                    out.append(composed(word, [best[i][1] for i in sorted(best)], model.value))
+                for word, best, held in zip(*(some.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
+                    longer: dict = {}
+                    for x in held or ():
+                        longer.setdefault(len(x["reading"]), {})[x["reading"]] = x["p"]
+                    out.append(composed(word, best, {**model.value, **dict(sorted(longer.items()))}))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.string()), some.column(2)], ["key", "reading", "n"])
 
     return run
 
 
-def read_words(docs: DataFrame, lm: np.ndarray, vocabulary: dict[int, dict[str, float]]) -> DataFrame:
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        h = np.array([zlib.crc32(w.encode()) for w in b.column(0).to_pylist()], dtype=np.uint64) % np.uint64(64 * MARKS)
+        bits = np.uint64(1) << (h & np.uint64(63))
+        yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(6)).astype(np.int64)), pa.array(bits.view(np.int64))], ["at", "bits"])
+
+
+def _pieces(marks, most: int):
+    """(key, reading): parts of more than SHORT letters of each word's letters that may be words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = marks.value
+        for b in batches:
+            keys, found = [], []
+            for key, letters_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw, own = letters_.encode(), set()
+                for s in range(len(raw)):
+                    for e in range(s + SHORT + 1, min(s + most, len(raw)) + 1):
+                        h = zlib.crc32(raw[s:e]) % (64 * MARKS)
+                        if marked[h >> 6] >> (h & 63) & 1:
+                            own.add(raw[s:e])
+                keys += [key] * len(own)
+                found += [x.decode() for x in own]
+                if len(keys) > 1 << 16:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.string())], ["key", "reading"])
+                    keys, found = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.string())], ["key", "reading"])
+
+    return run
+
+
+def lexicon(counts: DataFrame, best: DataFrame) -> DataFrame:
+    """(reading, p): log probabilities of the words of all documents, plain or restored, that cut() can use, a written table.
+
+    A word that is no more probable than as many letters outside the vocabulary is never cut out, and is left out.
+    """
+    restored_words = best.where("not parted").select(F.col("best")[0].alias("reading"), F.col("n").alias("seen"))
+    words_ = counts.unionByName(restored_words).groupBy("reading").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= LEAST_ROWS)
+    words_ = materialize(words_.where("length(reading) > 1 or reading in ('a', 'i', 'o')"), "words")
+    total = words_.agg(F.sum("seen")).first()[0] or 1
+    out = materialize(words_.select("reading", (F.log("seen") - math.log(total)).alias("p")).where(F.col("p") > UNKNOWN * F.length("reading")), "lexicon")
+    drop(words_)
+    return out
+
+
+def with_words(best: DataFrame, counts: DataFrame) -> tuple[DataFrame, dict[int, dict[str, float]], DataFrame]:
+    """best with the words of more than SHORT letters that each word with gaps holds, the shorter words, and the written table that is read."""
+    spark, found = best.sparkSession, lexicon(counts, best)
+    short: dict = {n: {} for n in range(1, SHORT + 1)}
+    for w, p in found.where(F.length("reading") <= SHORT).collect():  # 26 + 26**2 + 26**3 at most
+        short[len(w)][w] = p
+    longer = found.where(F.length("reading") > SHORT)
+    marks = np.zeros(MARKS, dtype=np.uint64)
+    for at, bits in longer.select("reading").mapInArrow(_marked, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
+        marks[at] = bits & 0xFFFFFFFFFFFFFFFF
+    most = longer.agg(F.max(F.length("reading"))).first()[0] or 0
+    runs_ = best.where("parted").select("key", F.col("best")[0].alias("letters"))
+    pieces = runs_.mapInArrow(_pieces(spark.sparkContext.broadcast([int(x) for x in marks]), most), "key binary, reading string")
+    held = pieces.join(longer, "reading").groupBy("key").agg(F.collect_list(F.struct("reading", "p")).alias("held"))
+    return best.join(held, "key", "left").select("key", "word", "n", "best", "held"), short, found
+
+
+def read_words(docs: DataFrame, lm: np.ndarray, vocabulary: dict[int, dict[str, float]] | None = None) -> DataFrame:
     """(key, reading, n): all different disguised words of docs, what they stand for, and the documents they are in.
 
     The lattice proposes BEST readings by letters. They are weighed by how often all documents have them as plain words: a
-    table that grows with the documents' vocabulary, and is joined, neither collected nor broadcast.
+    table that grows with the documents' vocabulary, and is joined, neither collected nor broadcast. Runs are cut into the
+    words of `vocabulary`, or of all documents where none is given.
     """
     context = docs.sparkSession.sparkContext
     counts = materialize(docs.select("text").mapInArrow(_counted, "reading string, seen long").groupBy("reading").agg(F.sum("seen").alias("seen")), "words")
@@ -441,23 +485,146 @@ def read_words(docs: DataFrame, lm: np.ndarray, vocabulary: dict[int, dict[str,
     options = found.mapInArrow(_lattices(context.broadcast(lm)), "key binary, word string, n long, part int, reading string, channel double, score double")
     joint = F.when(F.col("seen").isNull(), F.col("score") + math.log(UNSEEN)).otherwise(F.col("channel") + F.log((1 - UNSEEN) / total * F.col("seen") + UNSEEN * F.exp(F.col("score") - F.col("channel"))))
     weighed = options.join(counts, "reading", "left").groupBy("key").agg(F.max("word").alias("word"), F.max("n").alias("n"), F.collect_list(F.struct("part", joint.alias("joint"), "reading")).alias("found"))
-    out = materialize(weighed.mapInArrow(_composed(context.broadcast(vocabulary)), "key binary, reading string, n long").where("reading <> ''"), "readings")
-    drop(counts)
+    best = materialize(weighed.mapInArrow(_best, "key binary, word string, n long, best array<string>, parted boolean"), "best")
+    if vocabulary is None:
+        x, vocabulary, words_ = with_words(best, counts)
+    else:
+        x, words_ = best.drop("parted").withColumn("held", F.lit(None).cast("array<struct<reading: string, p: double>>")), best
+    out = materialize(x.mapInArrow(_composed(context.broadcast(vocabulary)), "key binary, reading string, n long").where("reading <> ''"), "readings")
+    drop(counts, best, words_)
     return out
 
 
-def known_words(texts: pa.Table, read: DataFrame) -> dict[bytes, str]:
-    """Readings of the words in a bounded table of texts; empty for those that are no disguise."""
-    words = {}
-    for batch in texts.combine_chunks().to_batches():
-        for part in steps(batch):
-            data, offsets = text_bytes(part.column(part.schema.get_field_index("text")))
-            start, end, _, key = distinct(data, offsets)
-            raw = data.tobytes()
-            words.update(zip((raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)), _binary(key).to_pylist(), strict=True))
-    keys = read.sparkSession.createDataFrame(pa.table({"key": pa.array(sorted(set(words.values())), pa.binary())}))
-    found = {bytes(k): r for k, r in read.join(keys, "key", "left_semi").select("key", "reading").collect()}
-    return {w: found.get(k, "") for w, k in words.items()}
+def _own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for part in steps(b):
+            _, _, row, key = distinct(*text_bytes(part.column(1)))
+            at = np.append(0, np.cumsum(np.bincount(row, minlength=part.num_rows))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), _binary(key))], ["place", "keys"])
+
+
+def training(docs: DataFrame, labels: DataFrame, read: DataFrame) -> DataFrame:
+    """(text, y) of all labelled documents outside the fold, with their restored words; a written table.
+
+    A bitmap of the labelled ids leaves most other texts out before they travel; the join decides.
+    """
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") >= 1).alias("y"))
+    at, bit = F.expr(f"shiftright(pmod(xxhash64(doc_id), {64 * MARKS}), 6)"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")
+    marks = own.select(at.alias("mark"), bit.alias("bits")).groupBy("mark").agg(F.bit_or("bits").alias("bits"))  # MARKS rows at most
+    some = docs.where("doc_id is not null").withColumn("mark", at).join(F.broadcast(marks), "mark").where(F.col("bits").bitwiseAND(bit) != 0)
+    texts = some.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).join(own, "doc_id")
+    texts = materialize(texts.select(F.monotonically_increasing_id().alias("place"), "text", "y"), "labelled")
+    extra = readings_of(texts.select("place", "text").mapInArrow(_own_keys, "place long, keys array<binary>"), read)
+    out = materialize(texts.join(extra, "place", "left").select(F.when(F.col("extra").isNull(), F.col("text")).otherwise(F.concat_ws(" ", "text", F.array_join("extra", " "))).alias("text"), "y"), "training")
+    drop(texts)
+    return out
+
+
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, one = np.zeros(BUCKETS, dtype=np.int32), np.zeros(BUCKETS, dtype=np.int32)
+    for b in batches:
+        for part in steps(b):
+            row, f = presence(*text_bytes(part.column(0)))
+            y = part.column(1).to_numpy(zero_copy_only=False)
+            np.add.at(n, f, 1)
+            np.add.at(one, f[y[row]], 1)
+    seen = np.flatnonzero(n)
+    for at in range(0, len(seen), 1 << 16):
+        some = seen[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64)), pa.array(one[some].astype(np.int64))], ["f", "n", "one"])
+
+
+def _chosen(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = model.value
+        keep = np.zeros(BUCKETS, dtype=bool)
+        keep[chosen] = True
+        for b in batches:
+            for part in steps(b):
+                row, f = presence(*text_bytes(part.column(0)), keep)
+                at = np.append(0, np.cumsum(np.bincount(row, minlength=part.num_rows))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(np.searchsorted(chosen, f).astype(np.int32))), part.column(1)], ["own", "y"])
+
+    return run
+
+
+def _slopes(model):
+    """One row for each task: the loss, the gradient by feature and by bias, in units of 1 / UNIT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = model.value
+        total = np.zeros(len(w) + 1, dtype=np.int64)
+        for b in batches:
+            own, y = b.column(0), b.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            row, at = np.repeat(np.arange(len(y)), own.value_lengths().to_numpy()), own.flatten().to_numpy()
+            z = np.clip(w[-1] + np.bincount(row, weights=w[at], minlength=len(y)), -50, 50)
+            d = np.rint((1 / (1 + np.exp(-z)) - y) * UNIT)
+            total[0] += np.rint((np.logaddexp(0, z) - y * z) * UNIT).astype(np.int64).sum()
+            total[1:-1] += np.bincount(at, weights=d[row], minlength=len(w) - 1).astype(np.int64)
+            total[-1] += int(d.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    return run
+
+
+def minimum(value, start: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Where value(x), a pair of loss and gradient, is least, by limited-memory BFGS from `start`; scale: guess of the inverse second derivatives."""
+    x, (f, g) = start, value(start)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    left = EVALUATIONS - 1
+    while left > 0:
+        q, a = g.copy(), []
+        for s, y in reversed(past):
+            a.append((q @ s) / (y @ s))
+            q -= a[-1] * y
+        q *= scale * ((past[-1][0] @ past[-1][1]) / (past[-1][1] * scale @ past[-1][1]) if past else 1)
+        for (s, y), k in zip(past, reversed(a), strict=True):
+            q += s * (k - (y @ q) / (y @ s))
+        step, gain = 1.0, g @ q
+        while left > 0:
+            left -= 1
+            f2, g2 = value(x - step * q)
+            if f2 <= f - 1e-4 * step * gain:
+                break
+            step /= 3
+        else:
+            break
+        s, y = -step * q, g2 - g
+        if s @ y > 1e-10 * (y @ y):
+            past = [*past, (s, y)][-PAIRS:]
+        done = f - f2 < LEAST_GAIN * f
+        x, f, g = x + s, f2, g2
+        if done:
+            break
+    return x
+
+
+def fit(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, weights, bias) of a logistic model with a ridge penalty, on all rows of examples(text, y)."""
+    context = examples.sparkSession.sparkContext
+    n, ones = examples.agg(F.count("*"), F.coalesce(F.sum(F.col("y").cast("long")), F.lit(0))).first()
+    share = (ones + 0.5) / (n + 1)
+    bias = math.log(share / (1 - share))
+    if not 0 < ones < n:
+        return np.zeros(0, np.int64), np.zeros(0), bias
+    tallies = examples.mapInArrow(_tallies, "f int, n long, one long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("one").alias("one")).where(F.col("n") >= LEAST_DOCS)
+    z = F.abs(F.col("one") - F.col("n") * (ones / n)) / F.sqrt(F.col("n") * (ones / n * (1 - ones / n)))
+    top = sorted(tallies.select("f", "n", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(FEATURES).collect())
+    chosen, seen = (np.array([r[i] for r in top], dtype=np.int64) for i in (0, 1))
+    rows = materialize(examples.mapInArrow(_chosen(context.broadcast(chosen)), "own array<int>, y boolean"), "features")
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        sent = context.broadcast(w)
+        parts = rows.coalesce(TASKS).mapInArrow(_slopes(sent), "total binary").collect()
+        total = sum(np.frombuffer(x, dtype=np.int64) for (x,) in parts) / UNIT
+        sent.unpersist()
+        return float(total[0]) + RIDGE / 2 * float(w[:-1] @ w[:-1]), total[1:] + RIDGE * np.append(w[:-1], 0)
+
+    curve = share * (1 - share)
+    w = minimum(value, np.append(np.zeros(len(chosen)), bias), 1 / np.append(seen * curve + RIDGE, n * curve))
+    drop(rows)
+    return chosen, w[:-1], float(w[-1])
 
 
 def _first(model):
@@ -519,14 +686,16 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs(doc_id, text); labels: (doc_id, toxic)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lm = language_model(docs)
-    train = sample(docs, labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))), ["toxic"], rows)
-    words = vocabulary(train, lm)
-    read = read_words(docs, lm, words)
-    model = docs.sparkSession.sparkContext.broadcast(fit(train, (train.column("toxic").to_numpy() >= 1).astype(np.float64), lm, vocabulary=words, known=known_words(train, read)))
+    read = read_words(docs, language_model(docs))
+    collect(docs.sparkSession)
+    examples = training(docs, labels, read)
+    collect(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(examples))
+    drop(examples)
+    collect(docs.sparkSession)
     x = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_first(model), "doc_id long, held_out boolean, z double, own array<int>, keys array<binary>")
     x = materialize(x.withColumn("place", F.monotonically_increasing_id()), "scores")
     joined = x.drop("keys").join(readings_of(x, read), "place", "left").select("doc_id", "held_out", "z", "own", "extra")

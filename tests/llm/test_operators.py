@@ -544,3 +544,25 @@ def test_toxicity_weighs_readings_by_all_documents(spark, monkeypatch):
         monkeypatch.setattr(toxicity, "HOT", hot)
         sides.append({r.place: sorted(r.extra) for r in toxicity.readings_of(places, read).collect()})
     assert sides[0] == sides[1] == sides[2] and sides[0]
+
+
+def test_toxicity_learns_from_all_documents(spark):
+    """A word that only one of many labelled documents in hundreds has counts, and runs are cut into words of documents without labels."""
+    rng = random.Random(21)
+    plain = ["".join(rng.choices("bcdfglmnprst", k=2)) + rng.choice("aeiou") + rng.choice("lmnrst") + rng.choice("aeiou") for _ in range(60)]
+    texts = [" ".join(rng.choices(plain, k=6)) for _ in range(9000)]
+    rare = set(rng.sample(range(len(texts)), 12))
+    texts = [t + " zumpkle" * (i in rare) for i, t in enumerate(texts)]
+    known = spark.createDataFrame([(i, int(i in rare)) for i in range(len(texts))], "doc_id long, toxic int")
+    docs = frame(spark, [*texts, "a grobian fiend", "such grobian fiend", "grobian or fiend", "g-r-o-b-i-a-n-f-i-e-n-d"])
+    lm = toxicity.language_model(docs)
+    read = toxicity.read_words(docs, lm)
+    assert [r.reading for r in read.collect() if "grobian" in r.reading.split()] == ["grobianfiend grobian fiend"]
+    examples = toxicity.training(docs, known, read)
+    learnt = {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5}
+    assert examples.count() == len(learnt) > 6000 and examples.where("y").count() == len(rare & learnt)
+    chosen, w, bias = toxicity.fit(examples)
+    again = toxicity.fit(examples.repartition(7))
+    assert (chosen == again[0]).all() and (w == again[1]).all() and bias == again[2]
+    got = {r.doc_id for r in toxicity.toxicity(docs, known).collect() if r.predicted}
+    assert got == rare
