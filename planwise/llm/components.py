@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planwise.llm.storage import drop, materialize
+from planwise.llm.storage import collect, drop, materialize
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,16 +52,21 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node that is not the least of its component.
 
     edges: two columns of long; loops, repeats and nulls are ignored. component is the least node
-    that is reachable. Nodes without edges, and the least ones, have no row. Each round is one
-    large-star and one small-star step (Kiveris et al., 2014); neighbours are never collected, only
-    their minimum is aggregated. Each round's edges are written to the shared folder, and so is the result.
+    that is reachable. Nodes without edges, and the least ones, have no row. Each round takes a forest of each
+    partition's edges, then one large-star and one small-star step (Kiveris et al., 2014); neighbours are never
+    collected, only their minimum is aggregated. No step raises the least neighbour of a node, and a round that changes
+    nothing leaves stars. Each round's edges are written to the shared folder, and so is the result.
     """
+    spark = edges.sparkSession
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = e.mapInArrow(_local, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = materialize(e, "edges")
     seen = None
     for _ in range(rounds):
+        # few small files make one partition, so small inputs need few rounds, and few plans and tasks for the driver to remember
+        before, now = now, materialize(now.mapInArrow(_local, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "forest")
+        drop(before)
         # large star: a larger neighbour moves to the least of the node and its neighbours
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
@@ -74,6 +79,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after = materialize(small.where("u <> v").distinct(), "edges")
         drop(now)
         now = after
+        collect(spark)
         got = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if got == seen:
             break

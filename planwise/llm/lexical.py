@@ -70,13 +70,13 @@ def shapes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (out / np.maximum(total, 1)[:, None]).astype(np.float32)
 
 
-def sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = SAMPLE) -> pa.Table:
-    """Texts and labels of at most `rows` labelled documents, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = SAMPLE) -> DataFrame:
+    """Texts and labels of at most `rows` labelled documents, chosen by a hash of the id; one partition, by doc_id."""
     own = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     got = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` rows
     got = got.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in columns])
-    return got.orderBy("doc_id").toArrow()
+    return got.repartition(1).sortWithinPartitions("doc_id")
 
 
 def select(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, most: int, least_z: float = 4.0) -> np.ndarray:

@@ -16,6 +16,7 @@ gives its own columns other names where docs has such.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ LEAST_GRADE = 1
 LEAST_PROBABILITY = 0.5
 FEATURES = 2048
 SHAPE_SCALE = 4.0
+#: Keeps every document.
+NO_MODEL = (np.zeros(SHAPES), np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, -50.0))
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -48,9 +51,8 @@ def tails(z: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 def fit(texts: pa.Table, grade: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shape weights, features, feature weights, thresholds) by maximum likelihood with a ridge penalty."""
     n = len(grade)
-    even = (np.zeros(SHAPES), np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, -50.0))
     if n == 0 or len(np.unique(grade)) < 2:
-        return even
+        return NO_MODEL
     x, rows, fs, at = np.zeros((n, SHAPES), np.float32), [], [], 0
     for batch in texts.to_batches():
         for part in steps(batch):
@@ -99,6 +101,17 @@ def fit(texts: pa.Table, grade: np.ndarray, rounds: int = 400) -> tuple[np.ndarr
     return weights, chosen, p[len(used) : len(used) + len(chosen)], np.concatenate([cut[:1], cut[0] + np.cumsum(np.exp(cut[1:]))])
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pickled model of one task's texts and grades: the driver's memory holds neither."""
+    batches = list(batches)
+    if batches:
+        texts = pa.Table.from_batches(batches)
+        model = pickle.dumps(fit(texts, texts.column("grade").to_numpy().astype(np.int64)))
+        del batches, texts
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+
 def linear(data: np.ndarray, offsets: np.ndarray, ws: np.ndarray, chosen: np.ndarray, wf: np.ndarray, keep: np.ndarray) -> np.ndarray:
     z = (np.sqrt(shapes(data, offsets)) * SHAPE_SCALE) @ ws
     if len(chosen):
@@ -124,9 +137,8 @@ def _grade(model, names: tuple[str, str]):
 def graded(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """docs with expected_grade and p_selected, the probability of LEAST_GRADE or more."""
     train = sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), grades(labels), ["grade"], rows)
-    model = docs.sparkSession.sparkContext.broadcast(fit(train, train.column("grade").to_numpy().astype(np.int64)))
-    del train
-    release()
+    found = [pickle.loads(m) for (m,) in train.select("text", "grade").mapInArrow(_fit, "model binary").collect()]
+    model = docs.sparkSession.sparkContext.broadcast(found[0] if found else NO_MODEL)
     names = fresh("expected_grade", docs), fresh("p_selected", docs)
     return docs.mapInArrow(_grade(model, names), StructType([*docs.schema.fields, *(StructField(n, DoubleType()) for n in names)]))
 

@@ -546,6 +546,28 @@ def test_toxicity_weighs_readings_by_all_documents(spark, monkeypatch):
     assert sides[0] == sides[1] == sides[2] and sides[0]
 
 
+def test_components_settle_in_few_rounds(spark):
+    """A path of random ids and other edges, in small files: each of the rounds makes plans and tasks that the driver remembers."""
+    rng = random.Random(9)
+    path = rng.sample(range(10_000), 3000)
+    edges = list(zip(path, path[1:])) + [(rng.randrange(20_000, 21_000), rng.randrange(20_000, 21_000)) for _ in range(900)] + [(5, 5)]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in ngram_join.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(8), rounds=4).collect()}
+    node, least = forest(np.array([u for u, _ in edges]), np.array([v for _, v in edges]))
+    assert got == dict(zip(node.tolist(), least.tolist()))
+
+
+def test_quality_is_fitted_off_the_driver(spark, monkeypatch):
+    """The driver sees the model alone, neither texts nor features."""
+    texts = corpus(40, 3)
+    texts = [t and (t if i % 2 else t.upper()) for i, t in enumerate(texts)]
+    known = spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    want = {r.doc_id: r.p_selected for r in quality_ordinal.graded(frame(spark, texts), known).collect()}
+    for name in ("fit", "shapes", "presence"):
+        monkeypatch.delattr(quality_ordinal, name)  # of this process; executors import the module themselves
+    assert {r.doc_id: r.p_selected for r in quality_ordinal.graded(frame(spark, texts), known).collect()} == want
+
+
 def test_toxicity_learns_from_all_documents(spark):
     """A word that only one of many labelled documents in hundreds has counts, and runs are cut into words of documents without labels."""
     rng = random.Random(21)
