@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from planwise.llm import mixing, ngram_join, quality_ordinal, sentence_pieces, suffix_dedup
-from planwise.llm.storage import drop, materialize
+from planwise.llm.storage import collect, drop, materialize
 
 
 #: Repeated strings of so many bytes are looked for, with trigger strings of ANCHOR bytes. In prose a passage of
@@ -61,4 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
         drop(before)
+        collect(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from planwise.llm.storage import collect, drop, materialize
 
+#: Edges that one task joins, 16 MB; more are joined by rounds until no more are left.
+ONE_TASK = 1 << 20
+
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, least node of its part) that join what the edges (u, v) join."""
@@ -55,7 +58,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     that is reachable. Nodes without edges, and the least ones, have no row. Each round takes a forest of each
     partition's edges, then one large-star and one small-star step (Kiveris et al., 2014); neighbours are never
     collected, only their minimum is aggregated. No step raises the least neighbour of a node, and a round that changes
-    nothing leaves stars. Each round's edges are written to the shared folder, and so is the result.
+    nothing leaves stars. ONE_TASK edges or fewer are joined by one task, without rounds: each round makes plans, compiled
+    code, threads and task results that the driver holds. Each round's edges are written to the shared folder, and so is the result.
     """
     spark = edges.sparkSession
     a, b = edges.columns[:2]
@@ -64,7 +68,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(e, "edges")
     seen = None
     for _ in range(rounds):
-        # few small files make one partition, so small inputs need few rounds, and few plans and tasks for the driver to remember
+        if (now.count() if seen is None else seen[0]) <= ONE_TASK:
+            before, now = now, materialize(now.coalesce(1).mapInArrow(_local, "u long, v long"), "forest")
+            drop(before)
+            collect(spark)
+            break
         before, now = now, materialize(now.mapInArrow(_local, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "forest")
         drop(before)
         # large star: a larger neighbour moves to the least of the node and its neighbours

@@ -557,6 +557,25 @@ def test_components_settle_in_few_rounds(spark):
     assert got == dict(zip(node.tolist(), least.tolist()))
 
 
+@pytest.mark.parametrize("one_task,most", [(1 << 20, 2), (100, 60), (0, 60)])
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch, one_task, most):
+    """Few edges make two written tables, whatever their paths' length; more go by rounds, to the same components."""
+    from planwise.llm import components
+
+    written = []
+    put = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: written.append(name) or put(df, name))
+    monkeypatch.setattr(components, "ONE_TASK", one_task, raising=False)
+    rng = random.Random(11)
+    path = rng.sample(range(10_000), 400)
+    edges = [*zip(path, path[1:]), (20_001, 20_000), (7, 7)]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
+    node, least = forest(np.array([u for u, _ in edges]), np.array([v for _, v in edges]))
+    assert got == dict(zip(node.tolist(), least.tolist()))
+    assert len(written) <= most
+
+
 def test_quality_is_fitted_off_the_driver(spark, monkeypatch):
     """The driver sees the model alone, neither texts nor features."""
     texts = corpus(40, 3)
