@@ -52,6 +52,10 @@ _PRINTED[0x21:0x7F] = True
 #: ASCII, and no letter.
 _PLAIN = ~_LETTER
 _PLAIN[128:] = False
+#: A byte's kinds as bits; those two bits higher than LETTER and PRINTED are what may follow them in another piece.
+LETTER, PRINTED, LATIN = 1, 2, 16
+_KIND = (_LETTER * LETTER + _PRINTED * PRINTED + _PLAIN * (LETTER << 2) + _BLANK * (PRINTED << 2)).astype(np.uint8)
+_KIND[0xC3:0xC9] |= LATIN
 #: Pieces that are encoded in one line.
 LINE = 256
 #: First bytes of U+00C0 to U+023F: letters but for two signs in C3.
@@ -71,11 +75,14 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     together, which is slower but not wrong.
     """
     n = len(data)
-    latin = np.zeros(n, dtype=bool)
-    latin[1:] = _LATIN[data[:-1]] & (data[1:] >= 0x80) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
-    letter = _LETTER[data] | latin
+    kind = _KIND[data]
+    lead = np.flatnonzero(kind & LATIN)
+    lead = lead[lead < n - 1]
+    second = data[lead + 1]
+    kind[lead[(second >= 0x80) & ~((data[lead] == 0xC3) & ((second == 0x97) | (second == 0xB7)))] + 1] |= LETTER
     first = np.zeros(n + 1, dtype=bool)
-    first[1:n] = (letter[:-1] & _PLAIN[data[1:]]) | (_PRINTED[data[:-1]] & _BLANK[data[1:]])
+    # a letter's bit before an ASCII character's that is none, or a printed character's before a blank's
+    first[1:n] = kind[:-1] & (kind[1:] >> 2) & 3
     first[offsets] = True
     first[n] = False
     return np.flatnonzero(first)

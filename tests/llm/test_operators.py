@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from planwise.llm import html_extract, maxscore, mixing, ngram_join, quality_ordinal, sentence_pieces, suffix_dedup, token_orc, toxicity, vector_join
 from planwise.llm.components import forest
 from planwise.llm.storage import new_path
-from planwise.llm.textkernel import hash_of, prefix_hash, text_bytes
+from planwise.llm.textkernel import hash_of, mix64, prefix_hash, text_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -271,6 +271,28 @@ def test_token_files(spark):
     assert sum(f["rows"] for f in token_orc.stripe_metadata(path)) == len(texts)
 
 
+def test_new_pieces_do_not_copy_the_cache():
+    """A new piece takes memory for itself, not for all that the cache holds; lists that find no room are right too."""
+    import tracemalloc
+
+    from planwise.llm.piececache import CachedEncoder
+
+    class Lengths(CachedEncoder):
+        def encode_pieces(self, data, start, end):
+            return np.append(0, np.cumsum(np.full(len(start), 2))), np.stack([end - start, data[start]], axis=1).ravel().astype(np.uint32)
+
+    e, n = Lengths(300_000), 300_000
+    e.cache.add(mix64(np.arange(1, n, dtype=np.uint64)), 2 * np.arange(n), np.zeros(2 * n - 2, np.uint32))
+    data, at = np.frombuffer(b"abcabd", np.uint8), np.array([0, 3, 5])
+    e.encode(data, at[:1], at[1:2], np.array([5], np.uint64))  # the one that there is room for
+    tracemalloc.start()
+    values, length = e.encode(data, at, np.array([3, 5, 6]), np.array([5, 7, 9], np.uint64))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert values.tolist() == [3, 97, 2, 97, 1, 100] and length.tolist() == [2, 2, 2]
+    assert e.cache.n == n and most < 1 << 20
+
+
 def test_token_files_of_repeated_ids_stripes_and_pruning(spark, tmp_path):
     r = random.Random(2)
     rows = [(None if i % 50 == 7 else i // 3, " ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=r.randint(0, 300)))) for i in range(6000)]
