@@ -284,7 +284,9 @@ def suspected(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, row and key of the different words of each row that may be disguised, by row; a key is two hashes of 64 bits."""
     start, end, row = suspected(data, offsets)
-    key = np.stack([hash_of(prefix_hash(x), start, end) for x in (data, 255 - data)], axis=1)
+    # only the bytes of these words are hashed: a hash goes by them alone, wherever they are
+    own, last = data[spans(start, end - start)], np.cumsum(end - start)
+    key = np.stack([hash_of(prefix_hash(x), last - (end - start), last) for x in (own, 255 - own)], axis=1)
     order = np.lexsort((key[:, 1], key[:, 0], row))
     row, key = row[order], key[order]
     new = np.ones(len(row), dtype=bool)

@@ -482,6 +482,20 @@ def test_toxicity_suspects_what_the_lattice_models():
     assert got[-4] == got[-3] == got[-2] == got[-1] == []
 
 
+def test_toxicity_hashes_suspect_words_only(monkeypatch):
+    """A key goes by its word's bytes, wherever they are; plain text is not hashed for it."""
+    data, offsets = text_bytes(pa.array(["plain words all around " * 50 + "1d10t", None, "1d10t i d i o t", ""]))
+    start, end, row = toxicity.suspected(data, offsets)
+    hashed = []
+    monkeypatch.setattr(toxicity, "prefix_hash", lambda x: hashed.append(len(x)) or prefix_hash(x))
+    s, e, r, key = toxicity.distinct(data, offsets)
+    assert hashed == [(end - start).sum()] * 2
+    whole = np.stack([hash_of(prefix_hash(x), s, e) for x in (data, 255 - data)], axis=1)
+    assert (key == whole).all() and set(r) == set(row)
+    words = [bytes(data[a:b]) for a, b in zip(s, e)]
+    assert [k.tobytes() for k, w in zip(key, words) if w == b"1d10t"] == [key[words.index(b"1d10t")].tobytes()] * 2
+
+
 def test_restore_finds_the_best_path_of_the_lattice():
     lm = letter_model(["you idiot and you shit ass fuck loser idiot shit ass loser"] * 5)
 
