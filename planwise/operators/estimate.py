@@ -39,7 +39,12 @@ def parse_ranges(queries: DataFrame) -> DataFrame:
 
 def selectivities(ranges: DataFrame, df: DataFrame, columns: list[str], buckets: int = 10) -> DataFrame:
     """(query_id, column, sel, total) of each range, from histograms of df's columns."""
-    counts = cut(stats.value_counts(df, columns))
+    return placed(ranges, stats.value_counts(df, columns), buckets)
+
+
+def placed(ranges: DataFrame, counts: DataFrame, buckets: int = 10) -> DataFrame:
+    """selectivities() from counts(column, v, n), one row for each value."""
+    counts = cut(counts)
     ends = counts.groupBy("column").agg(F.sum("n").alias("total"), F.count("*").alias("ndv"), F.min("v").alias("lower"), F.max("v").alias("last"))
     x = ranges.join(ends.select("column", "lower", "last"), "column")
     x = cut(x.select("query_id", "column", F.coalesce(F.col("lo") + 1, "lower").alias("low"), F.coalesce("hi", F.col("last") + 1).alias("high")))

@@ -62,8 +62,7 @@ def cardinality_evaluation(spark, d):
     features = learned.features(ranges(spark), stats.column_summary(li, COLUMNS), estimate.shares(sel), COLUMNS)
     x = learned.labelled(features, true_counts(spark, d)).withColumn("part", F.when(F.col("query_id") % 5 == 0, "test").otherwise("train"))
     x = x.join(estimate.combine(sel), "query_id")
-    key = li.withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
-    x = x.join(spn.estimates(spn.build(key, "k", COLUMNS, 1000), ranges(spark), li.count()), "query_id")
+    x = x.join(spn.fitted_estimates(spn.fit(li, COLUMNS), ranges(spark), li, COLUMNS), "query_id")
     x = lineage.cut(x)
     train = x.where("part = 'train'")
     x = learned.mlp_predicted(learned.mlp(train, rounds=30), learned.predicted(learned.gbt(train, 10), x, "gbt"), "mlp")

@@ -104,6 +104,47 @@ def test_sum_product_network(spark):
     assert got[2] == 3000 and 0 < got[1] < 1200
 
 
+def test_network_of_all_rows(spark):
+    r = np.random.default_rng(6)
+    a = r.integers(0, 1000, size=6000)
+    rows = np.stack([a, a // 10 + r.integers(0, 9, size=6000), r.integers(0, 50, size=6000), 3 * a + r.integers(0, 700, size=6000)], axis=1)
+    names = ("a", "b", "c", "d")
+    df = spark.createDataFrame([tuple(map(int, x)) for x in rows], ", ".join(f"{c} long" for c in names)).repartition(5)
+    whole, root = spn.construct(rows, names, 600), spn.fit(df, list(names), tolerance=0)
+    assert root.rows == 6000 and {n[2] for n in spn.node_rows(root)} == {"sum", "product", "leaf"}
+    shape = lambda n: (n.kind, n.columns, n.rows, [shape(c) for c in n.children])
+    assert shape(root) == shape(whole)
+    asked = [(1, "a", 100, 400), (1, "b", None, 30), (2, "c", None, None), (3, "d", 500, None), (3, "c", 7, 40), (3, "a", 30, 31), (4, "z", 1, 2)]
+    got = {r.query_id: r.spn for r in spn.fitted_estimates(root, spark.createDataFrame(asked, "query_id int, column string, lo long, hi long"), df, list(names)).collect()}
+    for q in (1, 2, 3, 4):
+        assert got[q] == pytest.approx(6000 * spn.estimate(whole, {c: (lo, hi) for i, c, lo, hi in asked if i == q})), q
+    odd = spark.createDataFrame([(4, None)] * 300, "a long, b long")
+    for table, want in ((odd, 300.0), (odd.limit(0), 0.0)):
+        ask = spark.createDataFrame([(1, "a", 3, 5), (2, "b", 0, 5)], "query_id int, column string, lo long, hi long")
+        assert {r.query_id: r.spn for r in spn.fitted_estimates(spn.fit(table, ["a", "b"]), ask, table, ["a", "b"]).collect()} == {1: want, 2: 0.0}
+
+
+def test_cardinality_evaluation_takes_no_sample(spark, monkeypatch):
+    from planwise import queries
+    from planwise.operators import bitmaps
+
+    class Seen(Exception):
+        pass
+
+    def refused(*_, **__):
+        raise AssertionError("a sample")
+
+    def stop(root, *_):
+        raise Seen(root.rows)
+
+    monkeypatch.setattr(bitmaps, "sample", refused)
+    monkeypatch.setattr(spn, "fitted_estimates", stop, raising=False)
+    d = "/root/testdata/sf0.001"
+    with pytest.raises(Seen) as seen:
+        queries.cardinality_evaluation(spark, d)
+    assert seen.value.args[0] == spark.read.parquet(f"{d}/lineitem.parquet").count()
+
+
 def test_regressors(spark, tmp_path):
     r = np.random.default_rng(5)
     x = r.uniform(size=(600, 4))
