@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from planwise.llm import mixing, ngram_join, quality_ordinal, sentence_pieces, suffix_dedup
-from planwise.llm.storage import collect, drop, materialize
+from planwise.llm.storage import collect, drop, materialize, shrink
 
 
 #: Repeated strings of so many bytes are looked for, with trigger strings of ANCHOR bytes. In prose a passage of
@@ -28,6 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words and those with a null doc_id link with nothing and stay; different texts under one doc_id
     are different documents; columns of other names are carried.
     """
+    shrink(spark)
     return ngram_join.representatives(docs, width=5, percent=80)
 
 
@@ -37,16 +38,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A null text stays null; a text that is nothing but such passages becomes empty; rows of equal doc_id and text repeat
     each other; columns of other names are carried.
     """
+    shrink(spark)
     return suffix_dedup.removed_text(docs, PASSAGE_BYTES, ANCHOR, PASSAGE_WORDS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them; those without words go. A null source is a source, a null doc_id a document."""
+    shrink(spark)
     return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, as a digest; null and empty texts have none."""
+    shrink(spark)
     return sentence_pieces.digest(docs)
 
 

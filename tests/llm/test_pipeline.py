@@ -173,3 +173,12 @@ def test_registered_sentence_pieces(spark, tables):
     for i, t in texts.items():
         ids, _ = pieces.texts(*text_bytes(pa.array([t or ""])))
         assert got[i] == (len(ids), int(np.isin(ids, pieces.byte_id).sum()), zlib.crc32(ids.astype("<u4").tobytes()), True)
+
+
+def test_stages_begin_with_small_heaps(spark):
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if any(w in b.getName() for w in ("Old", "MarkSweep")))
+    docs = spark.createDataFrame([(1, "some words", "en", "web", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = full()
+    corpus_pipeline.encode(spark, docs, "")
+    assert full() > before
