@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planwise.llm.textkernel import LOWER, hash_of, prefix_hash, runs, words
+from planwise.llm.textkernel import LOWER, hash_of, mix64, powers, prefix_hash, runs, words
 
 #: Hash space of word features.
 BUCKETS = 1 << 22
@@ -29,14 +29,16 @@ def presence(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray | None = No
     """(row, feature) of words and their prefixes, distinct; keep: a table of the features to give."""
     start, end, row = runs(LETTER[data], offsets)
     prefix = prefix_hash(LOWER[data])
+    size, before, inverse = (end - start).astype(np.uint64), prefix[start], powers(len(prefix))[1][start]
     out = []
-    for n in PREFIXES:
-        e, s, r = end, start, row
+    for n in PREFIXES:  # each is longer than the one before
+        r = row
         if n:
-            long = end - start > n
-            s, r = start[long], row[long]
-            e = s + n
-        f = ((hash_of(prefix, s, e) + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(42)).astype(np.int64)
+            long = np.flatnonzero(size > n)
+            start, size, before, inverse, row = (x[long] for x in (start, size, before, inverse, row))
+            r, end = row, start + n
+        f = mix64((prefix[end] - before) * inverse + (np.uint64(n) if n else size))
+        f = ((f + np.uint64(n * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(42)).astype(np.int64)
         if keep is not None:
             hit = keep[f]
             f, r = f[hit], r[hit]

@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,9 @@ _SIGN = (_fold == 0) & (np.arange(256) < 128)
 _EDGE = _SIGN & ~_DISGUISE & ~np.isin(np.arange(256), np.arange(48, 58))
 _SPELT = (_fold > 0) | (np.arange(256) == 0xC3)
 _LEADS = np.isin(np.arange(256), (0xC2, 0xE2))
+#: What a byte is, a bit for each.
+_IS_LETTER, _IS_DIGIT, _IS_DISGUISE, _IS_MARK, _IS_SIGN, _IS_EDGE, _IS_SPELT, _IS_LEAD = (np.uint8(1 << i) for i in range(8))
+_CODE = np.packbits(np.stack([_fold > 0, np.isin(np.arange(256), np.arange(48, 58)), _DISGUISE, _MARK, _SIGN, _EDGE, _SPELT, _LEADS]), axis=0, bitorder="little")[0]
 
 
 def letters(data: np.ndarray) -> np.ndarray:
@@ -123,6 +127,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3)
 
 
+@lru_cache(4096)
 def _options(c: str, last: str) -> list[tuple[str, float]]:
     """What a character may stand for, with the channel's log probabilities; last: the character before it."""
     if "a" <= c <= "z":
@@ -135,27 +140,37 @@ def _options(c: str, last: str) -> list[tuple[str, float]]:
     return [(chr(96 + int(x[-1])), PLAIN)] if len(x) and x[-1] else [("", PUT_IN)]
 
 
-def lattice(word: str, lm: np.ndarray, most: int = 1) -> list[tuple[float, float, str]]:
+def lattice(word: str, lm: np.ndarray | list[float], most: int = 1) -> list[tuple[float, float, str]]:
     """(log probability, the channel's part of it, letters) of the most probable letters behind a word, best first.
 
     Each state of the language model keeps its `most` best strings; strings are told apart by a running hash.
+    lm: the model's table, or its entries in a row, which many words can share.
     """
-    beam: dict = {(0, 0): [(0.0, 0.0, 0, None)]}
+    flat = lm if isinstance(lm, list) else lm.ravel().tolist()
+    beam: dict = {0: [(0.0, 0.0, 0, None)]}  # by the last two letters
     last = ""
     for c in word.lower():
         options, last = _options(c, last), c
         now: dict = {}
-        for (a, b), paths in beam.items():
+        for state, paths in beam.items():
             for x, cost in options:
-                k = ord(x) - 96 if x else 0
-                gain = cost + lm[a, b, k] if x else cost
-                to = now.setdefault((b, k) if x else (a, b), {})
-                for score, channel, h, path in paths:
-                    own = (h * 31 + k) % _PRIME if x else h
-                    if own not in to or score + gain > to[own][0]:
-                        to[own] = (score + gain, channel + cost, own, (path, x) if x else path)
-        beam = {state: sorted(to.values(), key=_negative)[:most] for state, to in now.items()}
-    ends = sorted(((s + lm[a, b, 0], channel, path) for (a, b), paths in beam.items() for s, channel, _, path in paths), key=_negative)
+                if x:
+                    k = ord(x) - 96
+                    gain = cost + flat[state * LETTERS + k]
+                    to = now.setdefault(state % LETTERS * LETTERS + k, {})
+                    for score, channel, h, path in paths:
+                        own = (h * 31 + k) % _PRIME
+                        score += gain
+                        if own not in to or score > to[own][0]:
+                            to[own] = (score, channel + cost, own, (path, x))
+                else:
+                    to = now.setdefault(state, {})
+                    for score, channel, own, path in paths:
+                        score += cost
+                        if own not in to or score > to[own][0]:
+                            to[own] = (score, channel + cost, own, path)
+        beam = {state: sorted(to.values(), key=_negative)[:most] if len(to) > 1 else list(to.values()) for state, to in now.items()}
+    ends = sorted(((s + flat[state * LETTERS], channel, path) for state, paths in beam.items() for s, channel, _, path in paths), key=_negative)
     out = []
     for score, channel, path in ends[:most]:
         got = []
@@ -228,24 +243,37 @@ def _sums(member: np.ndarray) -> np.ndarray:
     return out
 
 
+def _any(member: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether spans, none of them empty, have a true byte."""
+    if not len(start):
+        return np.zeros(0, dtype=bool)
+    return np.logical_or.reduceat(np.append(member, False), np.stack([start, end], axis=1).ravel())[::2]
+
+
 def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of words with signs or digits among letters, or a letter twice in a row."""
     start, end, row = words(data, offsets)
-    inside = ~_EDGE[data]  # marks around a word are no part of it
+    code = _CODE[data]
+    inside = code & _IS_EDGE == 0  # marks around a word are no part of it
     place, n_inside = np.flatnonzero(inside), _sums(inside)
     first, last = n_inside[start], n_inside[end]
     some = last > first
     start, end, row = place[first[some]], place[last[some] - 1] + 1, row[some]
-    letter, sign = _fold[data] > 0, _SIGN[data]
+    fold, sign = _fold[data], code & _IS_SIGN > 0
     # signs beyond ASCII: those of U+0080 to U+00BF and U+2000 to U+20FF
-    lead = np.flatnonzero(_LEADS[data])
+    lead = np.flatnonzero(code & _IS_LEAD)
     sign[lead[(data[lead] == 0xC2) | (data[np.minimum(lead + 1, len(data) - 1)] < 0x84)]] = True
-    twice = np.zeros(len(data), dtype=bool)
-    twice[1:] = letter[1:] & (_fold[data[1:]] == _fold[data[:-1]])
-    n_letters, n_signs, n_twice = _sums(_SPELT[data]), _sums(sign), _sums(twice)
-    inner = np.minimum(start + 1, end)
-    odd = (n_letters[end] - n_letters[start] >= 1) & ((n_signs[end] - n_signs[start] > 0) | (n_twice[end] - n_twice[inner] > 0)) & (end - start >= 2)
-    return start[odd], end[odd], row[odd]
+    odd = sign.copy()
+    odd[1:] |= (fold[1:] == fold[:-1]) & (fold[1:] > 0)
+    # few bytes are signs or repeat a letter; a word's first byte repeats none of its own
+    odd = np.flatnonzero(odd)
+    word = np.searchsorted(start, odd, side="right") - 1
+    odd, word = odd[word >= 0], word[word >= 0]
+    word = word[(odd < end[word]) & (sign[odd] | (odd > start[word]))]
+    word = word[np.append(True, word[1:] != word[:-1])[: len(word)]]
+    word = word[end[word] - start[word] >= 2]
+    word = word[_any(code & _IS_SPELT > 0, start[word], end[word])]
+    return start[word], end[word], row[word]
 
 
 def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,24 +284,31 @@ def spelled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     none = np.zeros(0, dtype=np.int64)
     if not len(data):
         return none, none, none
-    letter = (_fold[data] > 0) | (data >= 48) & (data < 58)
-    high = data >= 128
-    first = high & (data >= 0xC0)
-    sign = (data == 0xC2) | (data == 0xE2) & (np.append(data[1:], 0) < 0x84)
-    sign &= ~_at(data, "€£¡")
-    # bytes of a sign beyond ASCII part characters as ASCII signs do
-    lead = np.maximum.accumulate(np.where(~high | first, np.arange(len(data)), 0))
-    member = letter | _DISGUISE[data] | high & ~sign[lead]
+    code = _CODE[data]
+    member = code & (_IS_LETTER | _IS_DIGIT | _IS_DISGUISE) > 0
+    begins = member.copy()
+    high = np.flatnonzero(data >= 128)
+    if len(high):
+        raw = data[high]
+        first = raw >= 0xC0
+        sign = (raw == 0xC2) | (raw == 0xE2) & (np.append(data[1:], 0)[high] < 0x84)
+        sign &= ~_at(data, "€£¡")[high]
+        # bytes of a sign beyond ASCII part characters as ASCII signs do
+        lead = np.maximum.accumulate(np.where(first | (np.diff(high, prepend=-2) > 1), np.arange(len(high)), 0))
+        member[high] = ~sign[lead]
+        begins[high] = member[high] & first
     start, end, row = runs(member, offsets)
-    n_all, n_sure = (_sums(m) for m in (member & (~high | first), member & (~high | first) & ~_MARK[data]))
-    single = (n_all[end] - n_all[start] == 1) | (n_sure[end] - n_sure[start] == 1)
+    n = np.zeros(len(data) + 1, dtype=np.int64)  # characters, and above them those that are no marks
+    np.cumsum(begins.astype(np.int64) + ((begins & (code & _IS_MARK == 0)).astype(np.int64) << 32), out=n[1:])
+    n = n[end] - n[start]
+    single = (n & 0xFFFFFFFF == 1) | (n >> 32 == 1)
     joined = np.append(False, single[1:] & single[:-1] & (row[1:] == row[:-1])) if len(start) else single
     begin = np.flatnonzero(single & ~joined)
     stop = np.flatnonzero(single & ~np.append(joined[1:], False))
-    n_letters = _sums((_fold[data] > 0) | first)
-    s, e = start[begin], end[stop]
-    long = (stop - begin >= 2) & (n_letters[e] - n_letters[s] > 0)
-    return s[long], e[long], row[begin][long]
+    long = stop - begin >= 2
+    s, e, row = start[begin[long]], end[stop[long]], row[begin[long]]
+    some = _any((code & _IS_LETTER > 0) | (data >= 0xC0), s, e)
+    return s[some], e[some], row[some]
 
 
 def suspected(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -369,13 +404,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lattices(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lm = model.value.ravel().tolist()
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 some = b.slice(s, 500)
                 rows = []
                 for key, word, n in zip(*(some.column(i).to_pylist() for i in range(3)), strict=True):
                     for i, part in enumerate(parted(word)):
-                        rows += [(key, None if i or k else word, n, i, x, channel, score) for k, (score, channel, x) in enumerate(lattice(part, model.value, BEST))]
+                        rows += [(key, None if i or k else word, n, i, x, channel, score) for k, (score, channel, x) in enumerate(lattice(part, lm, BEST))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, (pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64()), strict=True)], ["key", "word", "n", "part", "reading", "channel", "score"])
 
     return run

@@ -643,3 +643,9 @@ def test_toxicity_learns_from_all_documents(spark):
     assert (chosen == again[0]).all() and (w == again[1]).all() and bias == again[2]
     got = {r.doc_id for r in toxicity.toxicity(docs, known).collect() if r.predicted}
     assert got == rare
+
+
+def test_lattice_takes_the_table_in_a_row():
+    lm = np.log(np.random.default_rng(8).dirichlet(np.ones(27), (27, 27)))
+    for word in ("1d10t", "f-o-o-l", "coool", "é$!", ""):
+        assert toxicity.lattice(word, lm.ravel().tolist(), 4) == toxicity.lattice(word, lm, 4)
