@@ -219,16 +219,17 @@ class Moments:
         return self.covariance / size[:, None] / size[None, :]
 
 
-def _moments(table: DataFrame, own: dict[int, Column], columns: tuple[str, ...]) -> dict[int, Moments]:
-    """Of the rows of each node, by its number."""
+def _moments(table: DataFrame, nodes: list[Node], own: dict[int, Column], columns: tuple[str, ...]) -> dict[int, Moments]:
+    """Of the rows of each node, by its number; columns that are not the node's count as constant."""
     wanted = {}
-    for k, rows in own.items():
-        x = [F.when(rows, F.col(c).cast("double")) for c in columns]
-        wanted |= {(k, "rows"): F.count_if(rows)} | {(k, "constant", i): F.min(v) == F.max(v) for i, v in enumerate(x)}
-        wanted |= {(k, i, j): F.covar_pop(x[i], x[j]) for i in range(len(x)) for j in range(i + 1)}
+    for node in nodes:
+        k, rows = node.number, own[node.number]
+        x = {i: F.when(rows, F.col(c).cast("double")) for i, c in enumerate(columns) if c in node.columns}
+        wanted |= {(k, "rows"): F.count_if(rows)} | {(k, "constant", i): F.min(v) == F.max(v) for i, v in x.items()}
+        wanted |= {(k, i, j): F.covar_pop(x[i], x[j]) for i in x for j in x if j <= i}
     got, every = _sums(table, wanted), range(len(columns))
-    covariance = lambda k, i, j: got[k, max(i, j), min(i, j)] or 0.0
-    return {k: Moments(got[k, "rows"], np.array([got[k, "constant", i] is not False for i in every]), np.array([[covariance(k, i, j) for j in every] for i in every])) for k in own}
+    covariance = lambda k, i, j: got.get((k, max(i, j), min(i, j))) or 0.0
+    return {n.number: Moments(got[n.number, "rows"], np.array([got.get((n.number, "constant", i)) is not False for i in every]), np.array([[covariance(n.number, i, j) for j in every] for i in every])) for n in nodes}
 
 
 def _two_means(table: DataFrame, nodes: list[tuple[Node, Moments]], own: dict[int, Column], columns: tuple[str, ...], tolerance: float) -> None:
@@ -285,7 +286,7 @@ def fit(df: DataFrame, columns: list[str], least_rows: int | None = None, tolera
     level = [root]
     while level:
         own = {n.number: rows for n, rows in scopes(root)}
-        moments = _moments(table, {n.number: own[n.number] for n in level}, names)
+        moments = _moments(table, level, own, names)
         splitting = []
         for node in level:
             s = moments[node.number]
